@@ -7,9 +7,12 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: ASCII white space: the word separator of every contract here, and what ``bytes.split()`` splits on.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -55,14 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, name: str, kind: DataType) -> StructType:
+    """The schema with one more column, in a copy."""
+    return StructType([*schema.fields, StructField(name, kind)])
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each (one text is never cut), nulls as they are."""
-    import numpy as np
-
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -75,3 +79,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_0
 def remainder(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def words_of(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """All words of the texts, in order, and how many each text has; nulls have none."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    total = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(pc.list_value_length(split).to_numpy())
+    return flat.filter(full), np.diff(np.append(0, total[ends])).astype(np.int64)

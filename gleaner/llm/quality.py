@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from gleaner.llm.common import text_chunks, with_package
+from gleaner.llm.common import extended, text_chunks, with_package
 
 #: Hashed features.
 BITS = 18
@@ -153,7 +154,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     rows = docs if keep else docs.select("doc_id", "text")
-    schema = (rows if keep else rows.select("doc_id")).schema.add("score", "double", False)
+    schema = extended((rows if keep else rows.select("doc_id")).schema, "score", DoubleType())
     names = schema.fieldNames()[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

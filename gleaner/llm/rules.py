@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from gleaner.llm.common import text_chunks, with_package
+from gleaner.llm.common import extended, text_chunks, with_package
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -214,7 +215,7 @@ def apply(docs: DataFrame, field: Field, share: float = SHARE, keep: bool = Fals
     names = rows.columns if keep else ["doc_id"]
     added = ["kept"] if keep else [c.split()[0] for c in COLUMNS.split(", ")]
     kinds = [pa.bool_()] if keep else [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
-    schema = rows.schema.add("kept", "boolean", False) if keep else f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
+    schema = extended(rows.schema, "kept", BooleanType()) if keep else f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):

@@ -11,8 +11,8 @@ shares leave:
    whose stretch an earlier document holds is covered whole. Anchors of one document alone are dropped.
 2. 50 bytes. Where an anchor has several stretches, each of their strings is sorted in the same way.
 
-A hot string does no harm: rows are dealt over tasks by ranges of name and document, so that no name is bound to
-one task. Runs of a name that the borders of tasks cut are judged by aggregation and join, which Spark splits.
+A hot string does no harm: rows are dealt over tasks by ranges of name, and of document within a name that would
+fill several tasks; such names are judged by aggregation and join, which Spark splits.
 Names are of 64 bits and compared in pairs.
 
 Cases: a null text counts as empty; rows with a null id are kept whole and cover nothing; rows of one id never
@@ -39,6 +39,8 @@ PLACE = 18
 PART = (1 << PLACE) - 1024
 #: Bytes of texts read at once: few enough for a processor's cache.
 READ = 120_000
+#: Borders that a name takes before it is cut between tasks.
+CUT = 3
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -159,6 +161,26 @@ def string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.concatenate(out)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The rows' bytes, plane after plane, of names and of differences between rows, which leaves much to compress."""
+    out = []
+    for name in ROW.names:
+        x = found[name] if name in ("gram", "stretch") else np.diff(found[name], prepend=found[name].dtype.type(0))
+        out.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(found), -1).T))
+    return b"".join(x.tobytes() for x in out)
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    found, at = np.empty(len(block) // ROW.itemsize, ROW), 0
+    for name in ROW.names:
+        kind = ROW[name]
+        planes = np.frombuffer(block, np.uint8, kind.itemsize * len(found), at).reshape(kind.itemsize, -1)
+        x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+        found[name] = x if name in ("gram", "stretch") else np.cumsum(x, dtype=kind)
+        at += planes.size
+    return found
+
+
 def mark_of(text: str) -> Column:
     return (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
 
@@ -179,7 +201,11 @@ def borders(sample: DataFrame, blocks: Blocks, number: int) -> tuple[np.ndarray,
     gram, doc = got["gram"].to_numpy(), got["doc"].to_numpy()
     order = np.lexsort((doc, gram))
     at = order[np.linspace(0, len(order), number, endpoint=False)[1:].astype(int)] if len(order) else order
-    return gram[at], doc[at]
+    gram, doc = gram[at], doc[at]
+    # a name is cut only where it fills tasks by itself
+    _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+    doc[times[which] < CUT] = -(1 << 63)
+    return gram, doc
 
 
 def task_of(gram: np.ndarray, doc: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -194,8 +220,8 @@ def task_of(gram: np.ndarray, doc: np.ndarray, at: tuple[np.ndarray, np.ndarray]
     return out.astype(np.int32)
 
 
-def judged(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A task's rows in order with what they are found to be: the first and the last name may go on in other tasks.
+def judged(found: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A task's rows in order with what they are found to be; cut: names that other tasks hold as well.
 
     Rows that are neither covered nor, at an anchor with several stretches, open are left out.
     """
@@ -208,7 +234,7 @@ def judged(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     several = np.minimum.reduceat(first, group) != np.maximum.reduceat(first, group)
     several = np.repeat(np.repeat(several, np.diff(np.append(group, len(begin)))), size)
     covered = doc > np.repeat(first, size)
-    known = (gram != gram[0]) & (gram != gram[-1])
+    known = ~np.isin(gram, cut)
     keep = covered | several | ~known
     return found[keep], np.where(known, covered, UNKNOWN).astype(np.int8)[keep]
 
@@ -220,6 +246,7 @@ def by_name(source: DataFrame, sample: DataFrame, blocks: Blocks, number: int) -
     Rows travel in blocks, one for each task that has them.
     """
     at = borders(sample, blocks, number)
+    cut = np.unique(at[0][at[1] != -(1 << 63)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in blocks(batches):
@@ -227,12 +254,12 @@ def by_name(source: DataFrame, sample: DataFrame, blocks: Blocks, number: int) -
             order = np.argsort(task, kind="stable")
             found, task = found[order], task[order]
             begin = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(task[begin]), pa.array([x.tobytes() for x in np.split(found, begin[1:])], pa.binary())], names=["task", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(task[begin]), pa.array([packed(x) for x in np.split(found, begin[1:])], pa.binary())], names=["task", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.frombuffer(b"".join([x.as_py() for batch in batches for x in batch.column("block")]), ROW)
+        found = np.concatenate([np.empty(0, ROW), *(unpacked(x.as_py()) for batch in batches for x in batch.column("block"))])
         if len(found):
-            kept, state = judged(found)
+            kept, state = judged(found, cut)
             for i in range(0, len(kept), 100_000):
                 part = kept[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([*(pa.array(part[c].copy()) for c in ROW.names), pa.array(state[i : i + 100_000])], names=[*ROW.names, "state"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from gleaner.plans import corpus, retrieval, tables  # noqa: F401  they fill the registry
+from gleaner.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "bm25_recall"

@@ -249,7 +249,7 @@ def by_name(source: DataFrame, sample: DataFrame, blocks: Blocks, number: int) -
     cut = np.unique(at[0][at[1] != -(1 << 63)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in blocks(batches):
+        for found in filter(len, blocks(batches)):
             task = task_of(found["gram"], found["doc"], at)
             order = np.argsort(task, kind="stable")
             found, task = found[order], task[order]

@@ -89,7 +89,8 @@ class Vocabulary:
         state = np.full((1, width), self.dead, np.int64)
         score, count = np.full((1, width), NONE, np.int64), np.zeros((1, width), np.int64)
         score[0, 0] = 0
-        active, node, depth = np.arange(len(words)), np.zeros(len(words), np.int64), 0
+        active, depth = np.flatnonzero(size), 0
+        node = np.zeros(len(active), np.int64)
         while len(active):
             keys, new = np.unique(node << 21 | points[begin[active] + depth], return_inverse=True)
             parent, c = keys >> 21, keys & (1 << 21) - 1

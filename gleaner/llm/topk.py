@@ -1,13 +1,13 @@
 """Exact top-k inner products with Fagin's threshold algorithm.
 
 Candidates are cut into blocks of bounded size. Each block holds, for each dimension, its rows in the order of
-that component. For a query the lists are read in step, from the end that the sign of the query's component asks
-for; rows are scored exactly as they are met; reading stops when the sum of query component times list value at
-the present depth, which no unmet row can exceed, falls below the kth best score so far. Queries meet every block
-(a stated query set against all rows, in blocks), and the best k of all blocks are the result.
+that component. A batch of queries reads the lists in step from both ends; the rows met are scored exactly, by one
+matrix product for the batch; a query stops when the sum of its components times the list values at the present
+depth, which no unmet row can exceed, falls below its kth best score so far. Queries meet every block (a stated
+query set against all rows, in blocks), and the best k of all blocks are the result.
 
-Depths double. Where more than half of a block is met and the bound still does not hold, the rest of the block is
-scored at once, which is what reading on would come to: with many dimensions and little skew the bound bites late.
+Depths grow fourfold. Where the next depth may meet over half of a block, the lists are read to their ends at once:
+with many dimensions and little skew the bound bites late, and the rest of the block costs less than its lists.
 
 Vectors are quantised to floor(scale * x). Ties go to the smaller id.
 
@@ -29,6 +29,8 @@ from gleaner.llm.common import with_package, written
 #: Candidates in a block, and queries that a task holds at once.
 BLOCK = 16_384
 QUERIES = 4_096
+#: Queries that read a block's lists together.
+BATCH = 128
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -56,38 +58,49 @@ class Block:
         self.lists = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(columns, self.lists, axis=1)
 
-    def scores(self, which: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Scores of the rows met; from a quarter of them on, one product over all rows is cheaper than gathering."""
-        many = (np.count_nonzero(which) if which.dtype == bool else len(which)) * 4 > len(self.ids)
-        return (self.rows @ query)[which] if many else self.rows[which] @ query
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k rows but the query's own."""
-        n, query = len(self.ids), query.astype(self.rows.dtype)
-        used = np.flatnonzero(query)
-        down = query[used] > 0
-        met = np.full(n, not len(used))
-        depth = 0 if len(used) else n
-        while depth < n:
-            to = min(n, 2 * depth or max(k + 1, n // 128))
-            for up, d in zip(down, used):
-                met[self.lists[d, n - to : n - depth] if up else self.lists[d, depth:to]] = True
-            depth = to
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's best k rows but its own."""
+        n, dims = self.rows.shape
+        queries = queries.astype(self.rows.dtype)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        out: list = [None] * len(queries)
+        todo, depth = np.arange(len(queries)), max(k + 1, n // (16 * max(1, dims)))
+        while len(todo):
+            if 2 * dims * depth >= n // 2:
+                depth, met = n, np.arange(n)
+            else:
+                met = np.unique(np.concatenate([self.lists[:, :depth], self.lists[:, n - depth :]], axis=1))
+            found = [self.first(s, met, own[q], k) for s, q in zip(queries[todo] @ (self.rows if depth == n else self.rows[met]).T, todo)]
             if depth < n:
-                score = self.scores(met, query)
-                score = score[self.ids[met] != own]
-                edge = np.where(down, self.values[used, n - depth - 1], self.values[used, depth])
-                if len(score) >= k and edge @ query[used] < np.partition(score, len(score) - k)[len(score) - k]:
-                    break
-                if 2 * np.count_nonzero(met) > n:  # over half are met: the rest is scored as well, at less than the cost of reading on
-                    met[:], depth = True, n
-        at = np.flatnonzero(met & (self.ids != own))
-        score = self.scores(at, query)
-        if len(at) > k:
-            keep = score >= np.partition(score, len(at) - k)[len(at) - k]
-            at, score = at[keep], score[keep]
-        first = np.argsort(-score, kind="stable")[:k]
-        return self.ids[at[first]], score[first].astype(np.int64)
+                # no row beyond the depth has more in a dimension than the list there, from the end of the component's sign
+                most = up[todo] @ self.values[:, n - depth - 1] + down[todo] @ self.values[:, depth]
+                done = np.array([len(s) == k and bound < s[-1] for (_, s), bound in zip(found, most)])
+            else:
+                done = np.ones(len(todo), bool)
+            for q, f, d in zip(todo, found, done):
+                if d:
+                    out[q] = f
+            todo, depth = todo[~done], 4 * depth
+        return out
+
+    def first(self, score: np.ndarray, met: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of the rows met, in order."""
+        same = slice(*np.searchsorted(self.ids[met], (own, own + 1)))
+        keep = np.ones(len(score), bool) if same.start < same.stop else None
+        if keep is not None:
+            keep[same] = False
+            at = np.flatnonzero(keep)
+            score = score[at]
+        else:
+            at = np.arange(len(score))
+        if len(score) > 64 * (k + 1):
+            # k runs of rows have a row at least this good each
+            whole = len(score) // 64 * 64
+            tops = score[:whole].reshape(-1, 64).max(axis=1)
+            near = np.flatnonzero(score >= np.partition(tops, len(tops) - k)[len(tops) - k])
+            at, score = at[near], score[near]
+        order = np.argsort(-score, kind="stable")[:k]
+        return self.ids[met[at[order]]], score[order].astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -117,9 +130,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         block = Block(ids[side == 0], v[side == 0], exact_type(v[side == 0], v[side == 1]))
         out: list[tuple[int, int, int]] = []
         if len(block.ids):
-            for q, x in zip(ids[side == 1], v[side == 1]):
-                found, score = block.best(x, q, k)
-                out += [(int(q), int(a), int(s)) for a, s in zip(found, score)]
+            asked, x = ids[side == 1], v[side == 1]
+            for at in range(0, len(asked), BATCH):
+                for q, (found, score) in zip(asked[at : at + BATCH], block.best(x[at : at + BATCH], asked[at : at + BATCH], k)):
+                    out += [(int(q), int(a), int(s)) for a, s in zip(found, score)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], names=["query_id", "vec_id", "score"])
 
     pairs = with_package(left.union(right)).groupBy("block", "group").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")

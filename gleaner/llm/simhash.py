@@ -6,8 +6,9 @@ differences, so tile pairs beyond the radius are skipped; others are compared bi
 counts. Tiles are cut to a bounded number of fingerprints. A tile pair gives a minimum spanning forest of its
 links by distance, which has the same components.
 
-``keep_first`` also holds links against the texts: of 128 bits, 30 may differ, which nearly all texts of similarity
-0.8 keep to; a link then stays where the sets of word shingles are that similar.
+``keep_first`` also holds texts against each other: of 128 bits, 30 may differ, which nearly all texts of similarity
+0.8 keep to. The components of these candidates are groups, and all pairs of a group are compared by their sets of
+word shingles; only such links count.
 
 Cases: a null text has no words; texts without words have fingerprint zero and are linked like any other; rows
 with a null id have a fingerprint and a component (the least id in it, or null if it has none).
@@ -30,6 +31,10 @@ from gleaner.llm.components import components
 TILE = 4096
 #: Fingerprints of one tile that are compared with all of another at once.
 STRIP = 256
+#: Texts, and bytes of text (one text is never cut), of a group that are held against another chunk at once.
+CHUNK, VOLUME = 1024, 4_000_000
+#: Shingles of a table of texts by shingles.
+WIDTH = 4096
 
 
 def shingle_hashes(text: bytes, size: int = 3, seed: int = 42) -> np.ndarray:
@@ -146,20 +151,69 @@ def links(distinct: DataFrame, radius: int = 3, words: int = 1, tile: int = TILE
     return with_package(pairs).mapInArrow(run, "a bigint, b bigint, distance int")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The links (a, b) whose texts' sets of word shingles are at least so similar (shared by all). texts: node and text."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def alike(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of a spanning forest of all pairs whose sets are at least so similar (shared by all), one of each side, or both of ``left``.
+
+    A side: nodes, the sizes of their sets, the members of all sets, and the place of the node that each belongs to.
+    """
+    a, b = left, right or left
+    known, times = np.unique(a[2], return_counts=True)
+    shared = known[times > 1] if right is None else np.intersect1d(known, b[2])
+    common = np.zeros((len(a[0]), len(b[0])), np.float32)
+
+    def placed(side: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, side[2]), max(0, len(shared) - 1))
+        held = np.flatnonzero(shared[at] == side[2]) if len(shared) else np.zeros(0, np.int64)
+        held = held[np.argsort(at[held], kind="stable")]
+        return at[held], side[3][held]
+
+    def part(side: tuple[np.ndarray, np.ndarray], n: int, low: int, high: int) -> np.ndarray:
+        x, y = np.searchsorted(side[0], [low, high])
+        out = np.zeros((n, high - low), np.float32)
+        out[side[1][x:y], side[0][x:y] - low] = 1
+        return out
+
+    p = placed(a)
+    q = p if right is None else placed(b)
+    for low in range(0, len(shared), WIDTH):
+        high = min(low + WIDTH, len(shared))
+        one = part(p, len(a[0]), low, high)
+        common += one @ (one if right is None else part(q, len(b[0]), low, high)).T
+    common = common.astype(np.float64)
+    held = common >= similarity * np.maximum(1, a[1][:, None] + b[1][None, :] - common)
+    x, y = np.nonzero(np.triu(held, 1) if right is None else held)
+    kept = forest(a[0][x], b[0][y], np.zeros(len(x), np.uint8))
+    return a[0][x[kept]], b[0][y[kept]]
+
+
+def verified(members: DataFrame, similarity: float, size: int, chunk: int = CHUNK, volume: int = VOLUME) -> DataFrame:
+    """Links (a, b) with the components of all pairs within a group whose sets of word shingles are at least so similar.
+
+    members: root (of the group), node and text. All pairs of a group are held against each other, in chunks of a
+    bounded number and volume of texts; each pair of chunks is a task's row.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.octet_length("text")) / volume, F.lit(1))).cast("int").alias("cuts"))
+    cut = members.join(sizes, "root").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    chunks = written(cut.groupBy("root", "cuts", "cut").agg(F.collect_list(F.struct("node", "text")).alias("rows")), "chunks")
+    many, last = chunks.where("cuts > 1"), F.col("cuts") - 1
+    low = many.where(F.col("cut") < last).select("root", F.col("cut").alias("low"), F.explode(F.sequence(F.col("cut") + 1, last)).alias("high"), "rows")
+    high = many.where("cut > 0").select("root", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("low"), F.col("cut").alias("high"), F.col("rows").alias("other_rows"))
+    alone = chunks.select("rows", F.lit(None).cast(chunks.schema["rows"].dataType).alias("other_rows"))
+    pairs = alone.union(low.join(high, ["root", "low", "high"]).select("rows", "other_rows"))
+
+    def side(x: pa.StructArray) -> tuple[np.ndarray, ...]:
+        sets = [np.unique(shingle_hashes((t.as_py() or "").encode(), size)) for t in x.field("text")]
+        many = np.fromiter(map(len, sets), np.int64, len(sets))
+        return x.field("node").to_numpy(), many, np.concatenate(sets), np.repeat(np.arange(len(sets)), many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text_a"):
-            kept = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                p, q = (np.unique(shingle_hashes((t.as_py() or "").encode(), size)) for t in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                kept.append(common >= similarity * max(1, len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        for batch in batches:
+            for x, y in zip(batch.column("rows"), batch.column("other_rows")):
+                a, b = alike(side(x.values), side(y.values) if y.is_valid else None, similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return with_package(both.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a bigint, b bigint")
+    return with_package(pairs).mapInArrow(run, "a bigint, b bigint")
 
 
 def with_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
@@ -191,11 +245,11 @@ def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
         raise ValueError(f"columns {sorted(spare)} are used here")
     found = written(fingerprints(docs, keep=True, size=size, words=2), "documents_fp")
     distinct = distinct_of(found)
-    pairs = written(links(distinct, radius, words=2).select("a", "b").distinct(), "candidates")
+    # the forests of candidate links tell groups only: no pair of one group is left out when texts are compared
+    groups = components(links(distinct, radius, words=2))
     # one text of each fingerprint stands for it
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = found.join(nodes, F.col("_node") == F.col("node"), "left_semi").groupBy(F.col("_node").alias("node")).agg(F.min("text").alias("text"))
-    classes = with_components(distinct, components(alike(pairs, written(texts, "texts"), similarity, size)))
+    members = found.join(groups, F.col("_node") == F.col("node")).groupBy("root", "node").agg(F.min("text").alias("text"))
+    classes = with_components(distinct, components(verified(written(members, "members"), similarity, size)))
     told = found.join(classes.select(F.col("_node").alias("_of"), F.col("component_id").alias("_component")), F.col("_node") == F.col("_of"))
     first = told.where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_component")))
     # rows that share the least id, or have none, are rare: the least text of them stays

@@ -289,6 +289,56 @@ def test_keep_first_drops_copies_and_keeps_the_rest(spark):
     assert got == [1, 4, 5, 6, 7]
 
 
+def shingle_set(text, size=5):
+    words = text.split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def firsts(sets, similarity=0.8):
+    """Least place of each component of all pairs that are so similar."""
+    root = list(range(len(sets)))
+
+    def top(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    for i, p in enumerate(sets):
+        for j in range(i):
+            common = len(p & sets[j])
+            if common >= similarity * (len(p) + len(sets[j]) - common):
+                u, v = top(i), top(j)
+                root[max(u, v)] = min(u, v)
+    return [i for i in range(len(sets)) if root[i] == i]
+
+
+def test_keep_first_finds_all_links_of_a_family(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        text = list(base)
+        for _ in range(rng.randint(2, 4)):
+            text[rng.randrange(200)] = "".join(rng.choices("lmnopqrs", k=5))
+        texts.append(" ".join(text))
+    got = sorted(r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    want = firsts([shingle_set(t) for t in texts])
+    assert 1 < len(want) < 300 and got == want
+
+
+@pytest.mark.parametrize("chunk, volume", [(1024, 4_000_000), (7, 4_000_000), (1024, 5_000)])
+def test_verified_compares_all_pairs_of_a_group(spark, chunk, volume):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base[: rng.randint(60, 120)] if k % 3 else rng.choices(base, k=90)) for k in range(40)] + [""]
+    members = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "root bigint, node bigint, text string")
+    got = components.components(simhash.verified(members, 0.8, 5, chunk, volume)).collect()
+    groups = [[k for k in range(len(texts)) if k % 2 == g] for g in (0, 1)]
+    want = [group[i] for group in groups for i in firsts([shingle_set(texts[k]) for k in group])]
+    kept = set(range(len(texts))) - {r["node"] for r in got if r["node"] != r["root"]}
+    assert kept == set(want) and len(want) < 40
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

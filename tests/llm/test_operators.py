@@ -326,6 +326,20 @@ def test_keep_first_finds_all_links_of_a_family(spark):
     assert 1 < len(want) < 300 and got == want
 
 
+def test_keep_first_compares_sets_of_shingles(spark):
+    rng = random.Random(14)
+    make = lambda n: ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(n)]
+    found = []
+    for k in range(6):  # a line that only one of two texts repeats
+        text, line = make(300), make(10)
+        found += [text[:150] + line + text[150:], text[:150] + line * 15 + text[150:]]
+    said = make(1) * 400  # equal fingerprints, of one shingle's repeats, of different texts
+    found += [make(120) + said, make(120) + said]
+    texts = [" ".join(t) for t in found]
+    got = sorted(r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert got == firsts([shingle_set(t) for t in texts]) == [0, 2, 4, 6, 8, 10, 12, 13]
+
+
 @pytest.mark.parametrize("chunk, volume", [(1024, 4_000_000), (7, 4_000_000), (1024, 5_000)])
 def test_verified_compares_all_pairs_of_a_group(spark, chunk, volume):
     rng = random.Random(13)

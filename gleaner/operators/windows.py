@@ -26,14 +26,18 @@ def islands(hits: DataFrame, key: str, at: str, rows: str, width: int = 2) -> Da
     return spans.groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_hits")).drop("island")
 
 
-def page_window(pages: DataFrame, doc: str, page: str, text: str, keywords: list[str], top: int = 10, around: int = 1, budget: int = 4000) -> DataFrame:
-    """doc, page and size of the pages to read: the best by keywords and those beside them, up to a budget of characters.
+def page_scores(pages: DataFrame, text: str, keywords: list[str]) -> DataFrame:
+    """The pages with size and hits of the keywords in place of the text."""
+    low = F.lower(F.col(text))
+    count = sum(((F.length(low) - F.length(F.replace(low, F.lit(k.lower())))) / len(k) for k in keywords), F.lit(0.0)).cast("bigint")
+    return pages.withColumns({"size": F.length(text), "hits": count}).drop(text)
+
+
+def page_window(scored: DataFrame, doc: str, page: str, top: int = 10, around: int = 1, budget: int = 4000) -> DataFrame:
+    """doc, page and size of the pages to read: the best by ``page_scores`` and those beside them, up to a budget of characters.
 
     The page that crosses the budget is the last.
     """
-    low = F.lower(F.col(text))
-    count = sum(((F.length(low) - F.length(F.replace(low, F.lit(k.lower())))) / len(k) for k in keywords), F.lit(0.0)).cast("bigint")
-    scored = pages.select(doc, page, F.length(text).alias("size"), count.alias("hits"))
     best = Window.partitionBy(doc).orderBy(F.desc("hits"), page)
     chosen = scored.where("hits > 0").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
     near = chosen.select(doc, F.explode(F.sequence(F.col(page) - around, F.col(page) + around)).alias(page)).distinct()
@@ -48,17 +52,49 @@ def sample_budget(lines: DataFrame, key: str, at: str, line: str, rows: int = 20
     return lines.withColumn("used", F.sum(F.length(line) + 1).over(run)).where((F.col(at) <= rows) & (F.col("used") <= chars))
 
 
-def admitted(items: DataFrame, group: str, key: str, cost: str, cap: float) -> DataFrame:
+def numbered(rows: DataFrame, group: str, at: str, name: str, cuts: int = 200) -> DataFrame:
+    """The rows with their place from one within the group, by ``at``; equal ones in any order.
+
+    A group is cut at its approximate quantiles, numbered within each cut, and moved on by the counts of the cuts before.
+    """
+    borders = rows.groupBy(group).agg(F.percentile_approx(at, [k / cuts for k in range(1, cuts)], 10 * cuts).alias("_borders")).withColumnRenamed(group, "_of")
+    cut = F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col(at))), F.lit(0))
+    placed = rows.join(borders, F.col(group).eqNullSafe(F.col("_of")), "left").withColumn("_cut", F.when(F.col(at).isNull(), -1).otherwise(cut)).drop("_of", "_borders")
+    before = Window.partitionBy(group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cut
+    counts = placed.groupBy(group, "_cut").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select(F.col(group).alias("_of"), F.col("_cut").alias("_part"), "_before")
+    told = placed.withColumn(name, F.row_number().over(Window.partitionBy(group, "_cut").orderBy(at)))
+    told = told.join(counts, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_cut") == F.col("_part")))
+    return told.withColumn(name, F.col(name) + F.col("_before")).drop("_cut", "_of", "_part", "_before")
+
+
+def admitted(items: DataFrame, group: str, key: str, cost: str, cap: float, block: int = 1000) -> DataFrame:
     """group, key and cost of what an ordered fold lets in: an item that does not fit takes nothing.
 
-    The fold runs within a group; choose groups whose lists a task can hold.
+    Each round folds the next ``block`` items of a group that fit what is left of its budget; others never fit
+    later, as the room only shrinks (in a group with negative costs all are folded). So no task holds a group, and
+    rounds end as soon as nothing left fits. Items without cost take nothing and need no fold.
     """
-    sorted_items = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(cost).alias("c"))))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<k:bigint,c:double>>").alias("kept"))
+    x = items.select(F.col(group).alias("g"), F.struct(F.col(key).cast("bigint").alias("k"), F.col(cost).cast("double").alias("c")).alias("x")).where("x.c is not null")
+    free = (F.col("x.c") == 0) & F.lit(cap >= 0)
+    found, paid = x.where(free), x.where(~free)
+    falls = paid.groupBy("g").agg((F.min("x.c") < 0).alias("falls"))
+    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<k:bigint,c:double>>").alias("kept"))
 
     def step(state, x):
         fits = state["used"] + x["c"] <= cap
-        return F.struct((state["used"] + F.when(fits, x["c"]).otherwise(0.0)).alias("used"), F.when(fits, F.concat(state["kept"], F.array(F.struct(x["k"].alias("k"), x["c"].alias("c"))))).otherwise(state["kept"]).alias("kept"))
-
-    kept = items.groupBy(group).agg(sorted_items.alias("xs")).select(group, F.aggregate("xs", start, step)["kept"].alias("kept"))
-    return kept.select(group, F.explode("kept").alias("x")).select(group, F.col("x.k").alias(key), F.col("x.c").alias(cost))
+        return F.when(fits, F.struct((state["used"] + x["c"]).alias("used"), F.concat(state["kept"], F.array(x)).alias("kept"))).otherwise(state)
+
+    state = falls.select(F.col("g").alias("h"), "falls", F.lit(0.0).alias("used"), F.lit(None).cast("struct<k:bigint,c:double>").alias("last")).persist()
+    while True:
+        left = paid.join(state, F.col("g").eqNullSafe(F.col("h"))).where((F.col("last").isNull() | (F.col("x") > F.col("last"))) & (F.col("falls") | (F.col("used") + F.col("x.c") <= cap)))
+        # equal items have one rank, so that none is split between rounds; Spark limits ranks up to 1000 before it shuffles
+        turn = left.withColumn("n", F.rank().over(Window.partitionBy("g").orderBy("x"))).where(F.col("n") <= block)
+        folds = turn.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.first("used").alias("used"), F.first("falls").alias("falls"))
+        start = F.struct(F.col("used").alias("used"), zero["kept"].alias("kept"))
+        done = folds.select(F.col("g").alias("h"), "falls", F.aggregate("xs", start, step).alias("s"), F.element_at("xs", -1).alias("last")).persist()
+        if done.isEmpty():
+            break
+        found = found.union(done.select(F.col("h").alias("g"), F.explode("s.kept").alias("x")))
+        state = done.select("h", "falls", F.col("s.used").alias("used"), "last")  # groups with nothing left are out
+    return found.select(F.col("g").alias(group), F.col("x.k").alias(key), F.col("x.c").alias(cost))

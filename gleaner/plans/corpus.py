@@ -72,10 +72,9 @@ r AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY page ROW
 SELECT source, CAST(page AS INTEGER) AS page, CAST(size AS INTEGER) AS size, CAST(hits AS BIGINT) AS hits FROM r WHERE before < 4000""")
 def page_window_budget(spark, sf_dir):
     """Folders as books, documents as pages: the best pages by keywords, with their neighbours, up to a budget."""
-    from pyspark.sql import Window
-
-    pages = _docs(spark, sf_dir).withColumn("page", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return windows.page_window(pages, "source", "page", "text", ["the", "tion"])
+    pages = windows.page_scores(_docs(spark, sf_dir).select("source", "doc_id", "text"), "text", ["the", "tion"])
+    pages = windows.numbered(pages, "source", "doc_id", "page").withColumn("page", F.col("page").cast("int"))
+    return windows.page_window(pages, "source", "page")
 
 
 @query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_idx, count(*) OVER (PARTITION BY user_id) AS n FROM events),

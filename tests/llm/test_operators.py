@@ -131,6 +131,37 @@ def test_top_k_equals_its_sql_and_takes_no_part_of_broken_vectors(spark, sf_dir)
     assert topk.top_k(v.where("false"), v.where("false")).count() == 0
 
 
+def brute_top(v, asked, k):
+    out = {}
+    for q, x in asked:
+        found = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in v if i != q)
+        out[q] = [(i, -s) for s, i in found[:k]]
+    return out
+
+
+@pytest.mark.parametrize("skewed", [True, False])
+def test_threshold_stops_early_or_reads_all_lists(skewed):
+    rng = np.random.default_rng(5)
+    n, dims = 3000, 3 if skewed else 24
+    v = np.floor(256 * (rng.pareto(1.0, (n, dims)) if skewed else rng.normal(size=(n, dims))))
+    v[7] = v[8] = v[9]  # ties
+    rows, asked = topk.exact(v, v[:200])
+    block = topk.Block(np.arange(n), rows)
+    got = block.best(asked, np.arange(200), 5)
+    want = brute_top(list(enumerate(v.tolist())), list(enumerate(v[:200].tolist())), 5)
+    assert {q: [(int(a), int(s)) for a, s in zip(block.ids[p], score)] for q, (p, score, _) in enumerate(got)} == want
+    depths = np.array([d for *_, d in got])
+    assert (depths < n // 4).all() if skewed else (depths > n // 16).any()
+
+
+def test_top_k_of_great_unequal_and_few_vectors(spark):
+    found = [(0, [2e12, 1.0], "x"), (1, [2e12, -1.0], "x"), (2, [1e30, 1e30], "x"), (3, [1e30, 1e30], "x"), (4, [1.0], "x"), (5, [2.0], "x"), (6, [], "x"), (1, [0.5, 0.5], "x"), (7, [1e308, 1.0], "x")]
+    v = spark.createDataFrame(found, "vec_id bigint, embedding array<double>, score string")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, v.where("vec_id in (0, 4)"), k=5).collect()]
+    exact = 256 * 256 * (4 * 10**24 - 1)
+    assert exact > 2**63 and sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 3, 2**63 - 1), (0, 4, 1, 2 * 10**12 * 256 * 128 + 256 * 128), (4, 1, 5, 256 * 512)]
+
+
 def test_rules_count_as_by_hand(spark, docs, empty, sf_dir):
     field = rules.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     got = {r["doc_id"]: r for r in rules.apply(docs, field).collect()}

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 
 def with_package(df: DataFrame) -> DataFrame:
-    """Lets Python workers find this package when it is used from a checkout rather than installed."""
-    root = str(Path(__file__).resolve().parents[1])
-    env = df.sparkSession.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    """Lets Python workers find this package: Spark sends them an archive of it, once for each application."""
+    sc, root = df.sparkSession.sparkContext, Path(__file__).resolve().parent
+    name = f"{root.name}-package.zip"
+    if root.suffix != ".zip" and not any(str(p).endswith(name) for p in sc._python_includes):
+        path = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / name
+        with zipfile.ZipFile(path, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        sc.addPyFile(str(path))
     return df

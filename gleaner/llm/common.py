@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from gleaner.workers import with_package  # noqa: F401  shared by the operators
+
 #: ASCII white space: the word separator of every contract here, and what ``bytes.split()`` splits on.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -22,21 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_package(df: DataFrame) -> DataFrame:
-    """Lets Python workers find this package when it is used from a checkout rather than installed."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = df.sparkSession.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    return df
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -58,6 +52,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are sent to every task, at most: those of more rows than a KEYS-th of all have.
+KEYS = 500
+
+
+def joined(rows: DataFrame, told: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join with a table of one row for each key, whose ``n`` tells how many of the ``total`` rows have it.
+
+    Keys of over max(KEYS, total / KEYS) rows are at most KEYS: they are sent to every task, so that no task gets all
+    rows of one; the others are joined by shuffle, as no key of theirs fills a task.
+    """
+    limit = max(KEYS, total // KEYS)
+    hot, rest = F.broadcast(told.where(F.col("n") > limit).drop("n")), told.where(F.col("n") <= limit).drop("n")
+    few = rows.join(F.broadcast(told.where(F.col("n") > limit).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(few.join(rest, on))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """doc_id, label and text of a bounded sample of distinct labelled rows, whole texts.
+
+    Rows are taken in the order of hashes of their ids, ``max_rows`` at most and as long as their texts hold
+    ``max_bytes`` together. Labels other than 0 and 1 count for nothing; of several for one id the greatest counts.
+    """
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # max_rows bounds both sides that are sent to every task
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("_h", F.xxhash64("text"))
+    sizes = rows.groupBy("doc_id", "_h").agg(F.max(F.octet_length("text")).alias("_size")).orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(max_rows)
+    so_far = F.sum("_size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "_h"))
+    taken = sizes.withColumn("_sum", so_far).where(F.col("_sum") <= max_bytes).select("doc_id", "_h")
+    return rows.join(F.broadcast(taken), ["doc_id", "_h"]).groupBy("doc_id", "_h").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("doc_id", "label", "text")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def extended(schema: StructType, name: str, kind: DataType) -> StructType:
     """The schema with one more column, in a copy."""
     return StructType([*schema.fields, StructField(name, kind)])

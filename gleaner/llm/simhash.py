@@ -3,16 +3,18 @@
 Nodes are distinct fingerprints (in ``keep_first``, sets). A tile is given by population counts: of a fingerprint's
 four quarters, or, with a large radius, of the whole. Fingerprints within the radius differ by no more in the sum of
 those counts' differences, so tile pairs beyond the radius are skipped; others are compared bit by bit with
-exclusive-or and bit counts. Tiles are cut to a bounded number of fingerprints. A tile pair gives a minimum spanning
-forest of its links by distance, which has the same components.
+exclusive-or and bit counts. Tiles are cut to a bounded number of fingerprints. A tile pair gives stars, a link from
+each node to the least of its component there, which have the same components as all links.
 
 ``keep_first`` takes fingerprints of the sets of shingles, without repeats, and also holds texts against each other:
 of 128 bits, 32 may differ, which 99.9 % of texts of similarity 0.80 to 0.82 keep to. Texts with equal sets are one,
 those with equal fingerprints need not be. The components of these candidates are groups, and all pairs of a group
 are compared by their sets of word shingles; only such links count.
 
-Cases: a null text has no words; texts without words have fingerprint zero and are linked like any other; rows
-with a null id have a fingerprint and a component (the least id in it, or null if it has none).
+Cases: a null text has no words; texts without words have fingerprint zero and are linked like any other; texts of
+any length are read whole; rows with a null id have a fingerprint and a component (the least id in it, or null if it
+has none); repeated rows and ids stay rows of their own in ``components_of``; an empty table gives an empty result;
+further columns are not read (``keep_first`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from gleaner.llm.common import extended, text_chunks, with_package, written
+from gleaner.llm.common import extended, joined, text_chunks, with_package, written
 from gleaner.llm.components import components
 
 #: Fingerprints in a tile.
@@ -99,38 +101,35 @@ def fingerprints(docs: DataFrame, keep: bool = False, size: int = 3, words: int
     return out if sets else out.withColumn("_node", F.col("_fp")[0] if words == 1 else F.xxhash64("_fp"))
 
 
-def forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Places of the links of a minimum spanning forest."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links a - b but the least of its component, and that least one."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, root, kept = at[: len(a)].tolist(), at[len(a) :].tolist(), list(range(len(nodes))), []
-    for k in np.argsort(distance, kind="stable").tolist():
-        u, v = x[k], y[k]
-        while root[u] != u:
-            root[u] = u = root[root[u]]
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            kept.append(k)
-    return np.array(kept, np.int64)
-
-
-def near(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, ...]:
-    """a, b and distance of a minimum spanning forest of the pairs at most ``radius`` bits apart, one of each side (nodes, words)."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        u, v = root[x], root[y]
+        apart = u != v
+        if not apart.any():
+            break
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root != (up := root[root])).any():
+            root = up
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def near(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) with the components of all pairs at most ``radius`` bits apart, one of each side (nodes, words)."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for at in range(0, len(left[0]), STRIP):
         apart = np.bitwise_count(left[1][at : at + STRIP, None, 0] ^ right[1][None, :, 0])
         for w in range(1, left[1].shape[1]):
             apart += np.bitwise_count(left[1][at : at + STRIP, None, w] ^ right[1][None, :, w])
         x, y = np.nonzero(apart <= radius)
-        a, b, distance = left[0][at + x], right[0][y], apart[x, y]
+        a, b = left[0][at + x], right[0][y]
         other = a != b
-        a, b, distance = a[other], b[other], distance[other]
-        kept = forest(a, b, distance)
-        out.append((a[kept], b[kept], distance[kept]))
-    a, b, distance = map(np.concatenate, zip(*out))
-    kept = forest(a, b, distance)
-    return a[kept], b[kept], distance[kept]
+        out.append(stars(a[other], b[other]))
+    return stars(*map(np.concatenate, zip(*out)))
 
 
 def steps(radius: int, parts: int) -> list[int]:
@@ -142,7 +141,10 @@ def steps(radius: int, parts: int) -> list[int]:
 
 
 def links(distinct: DataFrame, radius: int = 3, words: int = 1, tile: int = TILE) -> DataFrame:
-    """a, b and distance: forests of the links between distinct fingerprints (_node, _fp) at most ``radius`` bits apart."""
+    """Links (a, b) with the components of all pairs of distinct fingerprints (_node, _fp) at most ``radius`` bits apart.
+
+    Tile numbers are paired first: rows are sent to pairs of tiles that both exist.
+    """
     if words == 1 and radius <= 4:
         parts = [F.bit_count(F.shiftrightunsigned(F.col("_fp")[0], 16 * i).bitwiseAND(0xFFFF)) for i in range(4)]
     else:
@@ -152,9 +154,11 @@ def links(distinct: DataFrame, radius: int = 3, words: int = 1, tile: int = TILE
     sizes = placed.groupBy("tile").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"))
     cut = placed.join(sizes, "tile").withColumn("cut", F.pmod(F.xxhash64("_node"), F.col("cuts")).cast("int"))
     tiles = written(cut.groupBy("tile", "cut").agg(F.collect_list(F.struct("_node", "_fp")).alias("rows")), "tiles")
+    numbers = tiles.select("tile", "cut")
+    asked = numbers.withColumn("other", F.explode(F.array(*(F.col("tile") + F.lit(d) for d in steps(radius, len(parts))))))
+    met = asked.join(numbers.select(F.col("tile").alias("other"), F.col("cut").alias("other_cut")), "other").where("tile != other or cut <= other_cut")
     right = tiles.select(F.col("tile").alias("other"), F.col("cut").alias("other_cut"), F.col("rows").alias("other_rows"))
-    asked = tiles.withColumn("other", F.explode(F.array(*(F.col("tile") + F.lit(d) for d in steps(radius, len(parts))))))
-    pairs = asked.join(right, "other").where("tile != other or cut <= other_cut").select("rows", "other_rows")
+    pairs = met.join(tiles, ["tile", "cut"]).join(right, ["other", "other_cut"]).select("rows", "other_rows")
 
     def side(x: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         return x.field("_node").to_numpy(), x.field("_fp").flatten().to_numpy().view(np.uint64).reshape(-1, words)
@@ -162,15 +166,15 @@ def links(distinct: DataFrame, radius: int = 3, words: int = 1, tile: int = TILE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("rows"), batch.column("other_rows")):
-                a, b, distance = near(side(x.values), side(y.values), radius)
+                a, b = near(side(x.values), side(y.values), radius)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(distance.astype(np.int32))], names=["a", "b", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return with_package(pairs).mapInArrow(run, "a bigint, b bigint, distance int")
+    return with_package(pairs).mapInArrow(run, "a bigint, b bigint")
 
 
 def alike(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """a and b of a spanning forest of all pairs whose sets are at least so similar (shared by all), one of each side, or both of ``left``.
+    """Links (a, b) with the components of all pairs whose sets are at least so similar, one of each side, or both of ``left``.
 
     A side: nodes, the sizes of their sets, the members of all sets, and the place of the node that each belongs to.
     """
@@ -200,8 +204,7 @@ def alike(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None, si
     common = common.astype(np.float64)
     held = common >= similarity * np.maximum(1, a[1][:, None] + b[1][None, :] - common)
     x, y = np.nonzero(np.triu(held, 1) if right is None else held)
-    kept = forest(a[0][x], b[0][y], np.zeros(len(x), np.uint8))
-    return a[0][x[kept]], b[0][y[kept]]
+    return stars(a[0][x], b[0][y])
 
 
 def verified(members: DataFrame, similarity: float, size: int, chunk: int = CHUNK, volume: int = VOLUME) -> DataFrame:
@@ -235,14 +238,14 @@ def verified(members: DataFrame, similarity: float, size: int, chunk: int = CHUN
 
 
 def with_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """_node and component_id, the least doc_id reachable, of each distinct fingerprint (_node, least)."""
-    rooted = written(distinct.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "least", F.coalesce("root", "_node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("_node", "component_id")
+    """_node, component_id, the least doc_id reachable, and n of each distinct fingerprint (_node, least, n)."""
+    rooted = written(distinct.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "least", F.col("n").alias("times"), F.coalesce("root", "_node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return joined(rooted, least, ["root"], rooted.count()).select("_node", "component_id", F.col("times").alias("n"))
 
 
 def distinct_of(found: DataFrame) -> DataFrame:
-    return written(found.groupBy("_node", "_fp").agg(F.min(F.col("doc_id").cast("bigint")).alias("least")), "fingerprints")
+    return written(found.groupBy("_node", "_fp").agg(F.min(F.col("doc_id").cast("bigint")).alias("least"), F.count("*").alias("n")), "fingerprints")
 
 
 def components_of(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -250,31 +253,39 @@ def components_of(docs: DataFrame, radius: int = 3) -> DataFrame:
     found = written(fingerprints(docs), "documents_fp")
     distinct = distinct_of(found)
     classes = with_components(distinct, components(links(distinct, radius)))
-    return found.join(classes, "_node").select("doc_id", F.lower(F.lpad(F.hex("_node"), 16, "0")).alias("fingerprint"), "component_id")
+    told = joined(found, written(classes, "classes"), ["_node"], found.count())
+    return told.select("doc_id", F.lower(F.lpad(F.hex("_node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 32) -> DataFrame:
     """One document of each group of near-duplicates, with its columns: that of the least id; of equal ids one stays.
 
-    Documents with a null id stay only if their group has no other; then one of them does. Columns of the input
-    may not be called _fp, _node or _component.
+    Documents with a null id stay only if their group has no other; then one of them does. Texts move once, by id and
+    set of shingles, and only those of the least ids; copies do not move. The columns' names may be any.
     """
-    if spare := {"_fp", "_node", "_component"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(spare)} are used here")
-    found = written(fingerprints(docs, keep=True, size=size, words=2, sets=True), "documents_fp")
-    distinct = distinct_of(found)
-    # the forests of candidate links tell groups only: no pair of one group is left out when texts are compared
+    names = docs.columns
+    back = [f"c{k}" for k in range(len(names))]
+    key = next(k for k, n in enumerate(names) if n.lower() == "doc_id")
+    text = next(k for k, n in enumerate(names) if n.lower() == "text")
+    rows = docs.toDF(*back).withColumnsRenamed({back[key]: "doc_id", back[text]: "text"})
+    back[key], back[text] = "doc_id", "text"
+    found = written(fingerprints(rows, keep=True, size=size, words=2, sets=True).withColumn("_id", F.col("doc_id").cast("bigint")), "documents_fp")
+    distinct = written(found.groupBy("_node", "_fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "fingerprints")
+    # the components of candidate links tell groups only: no pair of one group is left out when texts are compared
     groups = components(links(distinct, radius, words=2))
     # one text of each set of shingles stands for it
-    members = found.join(groups, F.col("_node") == F.col("node")).groupBy("root", "node").agg(F.min("text").alias("text"))
+    asked = distinct.join(groups, F.col("_node") == F.col("node")).select("root", "node", F.col("least").alias("_least"))
+    members = found.join(asked, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_least"))).groupBy("root", "node").agg(F.min("text").alias("text"))
     classes = with_components(distinct, components(verified(written(members, "members"), similarity, size)))
-    told = found.join(classes.select(F.col("_node").alias("_of"), F.col("component_id").alias("_component")), F.col("_node") == F.col("_of"))
-    first = told.where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_component")))
-    # rows that share the least id, or have none, are rare: the least text of them stays
-    tied = first.groupBy("_component").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("h")).where("n > 1")
+    of = classes.select(F.col("_node").alias("_of"), F.col("component_id").alias("_component"))
+    first = written(found.join(of, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_component"))), "firsts")
+    # rows that share the least id, or groups without ids: the least set, then the least text of them stays
+    mark = F.struct("_node", F.xxhash64("text"))
+    least = first.groupBy("_component").agg(F.min(mark).alias("_mark"), F.count("*").alias("_times"))
+    tied = written(least.where("_times > 1").select(F.col("_component").alias("_tied"), "_mark"), "tied")
     if tied.isEmpty():
-        return first.select(docs.columns)
-    tied = tied.select(F.col("_component").alias("_tied"), "h", F.lit(True).alias("_is"))
-    marked = first.join(tied, F.col("_component").eqNullSafe(F.col("_tied")), "left")
-    one = marked.where("_is and h <=> xxhash64(text)").withColumn("_rank", F.row_number().over(Window.partitionBy("_component").orderBy("_node"))).where("_rank = 1")
-    return marked.where("_is is null").select(docs.columns).union(one.select(docs.columns))
+        return first.select(back).toDF(*names)
+    told = first.join(tied, F.col("_component").eqNullSafe(F.col("_tied")), "left")
+    alone = told.where("_mark is null")
+    one = told.where(F.col("_mark").eqNullSafe(mark)).dropDuplicates(["_component"])
+    return alone.select(back).union(one.select(back)).toDF(*names)

@@ -16,7 +16,8 @@ fill several tasks; such names are judged by aggregation and join, which Spark s
 Names are of 64 bits and compared in pairs.
 
 Cases: a null text counts as empty; rows with a null id are kept whole and cover nothing; rows of one id never
-cover each other, whatever their texts; further columns are not read (``remove`` keeps them).
+cover each other, whatever their texts; very long texts are read in overlapping parts; an empty table gives an empty
+result; further columns are not read (``remove`` keeps them).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_chunks, with_package, written
+from gleaner.llm.common import joined, text_chunks, unused, with_package, written
 
 #: Bytes of an anchor and of a string; a string holds LENGTH - GRAM + 1 anchors' places.
 GRAM, LENGTH = 24, 50
@@ -269,11 +270,15 @@ def by_name(source: DataFrame, sample: DataFrame, blocks: Blocks, number: int) -
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """The rows of ``by_name`` with every state known."""
+    """The written rows of ``by_name`` with every state known.
+
+    Names in doubt are those that borders cut, so fewer than tasks. Of each stretch of theirs the first document is
+    found by aggregation; stretches that very many rows have are sent to every task (``joined``).
+    """
     unknown = found.where(F.col("state") == UNKNOWN)
-    firsts = unknown.groupBy("gram", "stretch").agg(F.min("doc").alias("first"))
+    firsts = unknown.groupBy("gram", "stretch").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     grams = firsts.groupBy("gram").agg(F.min("first").alias("least"), F.max("first").alias("most"))
-    told = unknown.join(firsts, ["gram", "stretch"]).join(grams, "gram").where("first < doc or least < most")
+    told = joined(unknown, firsts, ["gram", "stretch"], unknown.count()).join(F.broadcast(grams), "gram").where("first < doc or least < most")
     return found.where(F.col("state") != UNKNOWN).union(told.withColumn("state", (F.col("first") < F.col("doc")).cast("tinyint")).select(found.columns))
 
 
@@ -308,17 +313,17 @@ def runs(lo: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], to[np.append(np.flatnonzero(new)[1:] - 1, len(to) - 1)]
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """The documents' columns with runs array<struct<lo, to>>: the maximal runs of bytes to remove."""
-    spare = "_mark"
-    by = spans(docs).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "to")).alias("_spans")).withColumnsRenamed({"doc": "_doc", "mark": spare})
-    left = docs.withColumn("_own", mark_of("text"))
-    return left.join(by, (F.col("doc_id").cast("bigint") == F.col("_doc")) & (F.col("_own") == F.col(spare)), "left").drop("_doc", spare, "_own")
+def removed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a further column, and its name: array<struct<lo, to>>, the stretches of bytes to remove."""
+    spans_, own, doc, mark = unused(docs.columns, "_spans", "_own", "_doc", "_mark")
+    by = spans(docs).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "to")).alias(spans_)).withColumnsRenamed({"doc": doc, "mark": mark})
+    left = docs.withColumn(own, mark_of("text"))
+    return left.join(by, (F.col("doc_id").cast("bigint") == F.col(doc)) & (F.col(own) == F.col(mark)), "left").drop(doc, mark, own), spans_
 
 
-def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
+def _kept(batch: pa.RecordBatch, column: str = "_spans") -> Iterator[tuple[bytes, list[bytes]]]:
     """Each text's bytes, and what is left of them, in pieces."""
-    found = batch.column("_spans")
+    found = batch.column(column)
     lo, to = (found.flatten().field(c).to_numpy() for c in ("lo", "to"))
     ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy())
     for k, text in enumerate(batch.column("text")):
@@ -342,20 +347,21 @@ def digest(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_package(removed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_package(removed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))[0]).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents with the bytes removed from their texts; characters that a removal cuts go as a whole.
 
-    Null texts stay null; the other columns stay as they are.
+    Null texts stay null; the other columns stay as they are, whatever their names.
     """
     names_, schema = docs.columns, docs.schema
+    found, spans_ = removed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            left = [b"".join(pieces).decode("utf-8", "ignore") for _, pieces in _kept(batch)]
+            left = [b"".join(pieces).decode("utf-8", "ignore") for _, pieces in _kept(batch, spans_)]
             texts = [x if valid else None for x, valid in zip(left, batch.column("text").is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names_], names=names_)
 
-    return with_package(removed(docs)).mapInArrow(run, schema)
+    return with_package(found).mapInArrow(run, schema)

@@ -6,7 +6,9 @@ are labelled: lines take their document's label at first; after each round, line
 field itself decodes as content become content, since such documents hold good lines too, and it is fitted anew.
 
 Cases: a null or empty text has no words: its counts are 0, it fails the base rules and is not kept; without
-labels of both classes, the field keeps every text that passes the base rules.
+labels of both classes, the field keeps every text that passes the base rules; texts of any length are read whole, in
+training too; repeated rows are learned from once and judged each; an empty table gives an empty result; further
+columns are not read (``apply`` with ``keep`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from gleaner.llm.common import extended, text_chunks, with_package
+from gleaner.llm.common import extended, labelled, text_chunks, unused, with_package
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 UPPER, LOWER, DIGITS = (bytes(range(*r)) for r in ((65, 91), (97, 123), (48, 58)))
-#: Labelled documents that the field is fitted to, at most.
-MAX_ROWS = 1000
+#: Labelled documents that the field is fitted to, at most, and bytes of their texts.
+MAX_ROWS, MAX_BYTES = 1000, 10_000_000
 #: Share of words in content lines from which a text is kept.
 SHARE = 0.5
 BOILERPLATE, CONTENT = 0, 1
@@ -133,51 +135,62 @@ class Field:
         return out[::-1]
 
 
-def fit(sequences: list[list[list[int]]], states: list[list[int]], epochs: int = 100, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """Maximises the conditional likelihood by gradient ascent; forward and backward sums run over all sequences at once."""
-    n, longest, size = len(sequences), max(map(len, sequences)), len(SEEN)
-    x, y, mask = np.zeros((n, longest, size)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for k, (found, s) in enumerate(zip(sequences, states)):
-        for t, f in enumerate(found):
-            x[k, t, f] = 1
-        y[k, : len(s)], mask[k, : len(s)] = s, True
-    hot = np.eye(2)[y] * mask[..., None]
-    emitted = np.einsum("ktf,kts->sf", x, hot)
-    moved = np.einsum("kti,ktj->ij", hot[:, :-1], hot[:, 1:])
-    emit, move, total = np.zeros((2, size)), np.zeros((2, 2)), mask.sum()
-    seen_e, seen_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-    for _ in range(epochs):
-        score = x @ emit.T
+class Padded:
+    """Sequences of like length side by side: features seen, states and which places are filled."""
+
+    def __init__(self, sequences: list[list[list[int]]], states: list[list[int]]):
+        n, longest = len(sequences), max(map(len, sequences))
+        self.x, y, self.mask = np.zeros((n, longest, len(SEEN)), np.float32), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+        for k, (found, s) in enumerate(zip(sequences, states)):
+            self.x[k, np.repeat(np.arange(len(found)), [len(f) for f in found]), [i for f in found for i in f]] = 1
+            y[k, : len(s)], self.mask[k, : len(s)] = s, True
+        hot = np.eye(2)[y] * self.mask[..., None]
+        self.emitted = np.einsum("ktf,kts->sf", self.x, hot)
+        self.moved = np.einsum("kti,ktj->ij", hot[:, :-1], hot[:, 1:])
+
+    def gradient(self, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Seen less expected numbers of features in states, and of steps between states."""
+        n, longest, _ = self.x.shape
+        score = self.x @ emit.T
         alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         alpha[:, 0] = score[:, 0]
         for t in range(1, longest):
-            alpha[:, t] = np.where(mask[:, t, None], np.logaddexp(alpha[:, t - 1, 0, None] + move[0], alpha[:, t - 1, 1, None] + move[1]) + score[:, t], alpha[:, t - 1])
+            alpha[:, t] = np.where(self.mask[:, t, None], np.logaddexp(alpha[:, t - 1, 0, None] + move[0], alpha[:, t - 1, 1, None] + move[1]) + score[:, t], alpha[:, t - 1])
         for t in range(longest - 2, -1, -1):
             ahead = beta[:, t + 1] + score[:, t + 1]
-            beta[:, t] = np.where(mask[:, t + 1, None], np.logaddexp(ahead[:, 0, None] + move[:, 0], ahead[:, 1, None] + move[:, 1]), 0.0)
+            beta[:, t] = np.where(self.mask[:, t + 1, None], np.logaddexp(ahead[:, 0, None] + move[:, 0], ahead[:, 1, None] + move[:, 1]), 0.0)
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None, None]
-        p = np.exp(alpha + beta - z) * mask[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + move + (score + beta)[:, 1:, None, :] - z[..., None]) * mask[:, 1:, None, None]
-        ge = (emitted - np.einsum("ktf,kts->sf", x, p)) / total - ridge * emit
-        gm = (moved - pair.sum((0, 1))) / total - ridge * move
+        p = np.exp(alpha + beta - z) * self.mask[..., None]
+        pair = np.exp(alpha[:, :-1, :, None] + move + (score + beta)[:, 1:, None, :] - z[..., None]) * self.mask[:, 1:, None, None]
+        return self.emitted - np.einsum("ktf,kts->sf", self.x, p), self.moved - pair.sum((0, 1))
+
+
+def fit(sequences: list[list[list[int]]], states: list[list[int]], epochs: int = 100, rate: float = 0.5, ridge: float = 1e-3) -> Field:
+    """Maximises the conditional likelihood by gradient ascent, whole sequences, those of like length side by side."""
+    by_size: dict[int, list[int]] = {}
+    for k, found in enumerate(sequences):
+        by_size.setdefault(len(found).bit_length(), []).append(k)
+    padded = [Padded([sequences[k] for k in own], [states[k] for k in own]) for own in by_size.values()]
+    emit, move, total = np.zeros((2, len(SEEN))), np.zeros((2, 2)), sum(map(len, sequences))
+    seen_e, seen_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
+    for _ in range(epochs):
+        ge, gm = (np.sum(g, axis=0) for g in zip(*(p.gradient(emit, move) for p in padded)))
+        ge, gm = ge / total - ridge * emit, gm / total - ridge * move
         seen_e, seen_m = seen_e + ge**2, seen_m + gm**2
         emit, move = emit + rate * ge / np.sqrt(seen_e), move + rate * gm / np.sqrt(seen_m)
     return Field(emit, move)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_lines: int = 60, rounds: int = 3) -> Field:
-    """Fits the field to at most ``max_rows`` labelled documents, and to ``max_lines`` lines of each."""
-    chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, rounds: int = 3) -> Field:
+    """Fits the field to at most ``max_rows`` labelled documents, of ``max_bytes`` together, all lines of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            found = [sequence(split_lines((t or "").encode())[:max_lines]) for t in batch.column("text").to_pylist()]
+            found = [sequence(split_lines((t or "").encode())) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "label", "found"])
 
-    # max_rows bounds the broadcast side
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = with_package(texts).mapInArrow(run, "doc_id bigint, label int, found array<array<int>>").collect()
+    texts = labelled(docs, labels, "quality", max_rows, max_bytes)
+    got = with_package(texts).mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, found array<array<int>>").collect()
     got = sorted((r for r in got if r["found"]), key=lambda r: (r["doc_id"], r["found"]))
     sequences, marks = [r["found"] for r in got], [r["label"] for r in got]
     if len(set(marks)) < 2:
@@ -208,14 +221,17 @@ def judge(text: bytes, field: Field, share: float = SHARE) -> tuple[Counts, floa
 COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, content_share double, base_failed boolean, kept boolean"
 
 
-def apply(docs: DataFrame, field: Field, share: float = SHARE, keep: bool = False) -> DataFrame:
-    """doc_id, counts and verdict of each whole text; with ``keep``, the columns of the documents and ``kept`` only."""
+def apply(docs: DataFrame, field: Field, share: float = SHARE, keep: bool = False, name: str = "kept") -> DataFrame:
+    """doc_id, counts and verdict of each whole text; with ``keep``, the columns of the documents and the verdict only.
+
+    With ``keep``, ``name`` is that of the verdict's column; no column of the documents may have it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs if keep else docs.select("doc_id", "text")
     names = rows.columns if keep else ["doc_id"]
-    added = ["kept"] if keep else [c.split()[0] for c in COLUMNS.split(", ")]
+    added = [name] if keep else [c.split()[0] for c in COLUMNS.split(", ")]
     kinds = [pa.bool_()] if keep else [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
-    schema = extended(rows.schema, "kept", BooleanType()) if keep else f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
+    schema = extended(rows.schema, name, BooleanType()) if keep else f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
@@ -226,3 +242,9 @@ def apply(docs: DataFrame, field: Field, share: float = SHARE, keep: bool = Fals
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, k) for x, k in zip(zip(*found), kinds))], names=[*names, *added])
 
     return with_package(rows).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
+    """The documents that the rules keep, with their columns, whatever their names."""
+    (name,) = unused(docs.columns, "kept")
+    return apply(docs, field, share, keep=True, name=name).where(F.col(name)).select(docs.columns)

@@ -1,14 +1,19 @@
 """Token counts by dynamic programming over a trie that distinct pre-tokens share.
 
 Pre-tokens are runs without ASCII white space, each with the word mark in front. Their unigram segmentation of the
-highest score is found by forward scores, which hang on a prefix only: the distinct pre-tokens are put in a trie,
-level by level, and each node's score is computed once, whatever number of pre-tokens share it; the node where a
-pre-token ends has its count. Of equal scores the one of fewer tokens counts.
+highest score is found by forward scores, which hang on a prefix only: the distinct pre-tokens that a worker has not
+met before are put in a trie, and each node's score is computed once, whatever number of pre-tokens share it; the node
+where a pre-token ends has its count, which the worker keeps. Levels of many nodes are computed level by level, in
+numpy; what goes on below levels of few nodes is walked depth first, branch after branch. Of equal scores the one of
+fewer tokens counts.
 
 A piece scores the logarithm of its place in the vocabulary (Zipf's law), in thousandths; the vocabulary's own
-numbers are kept where they are log-probabilities. Characters without a piece cost a token for each UTF-8 byte.
+numbers are kept where they are log-probabilities. Where a vocabulary holds merges, as the one of the query does, these
+counts are those of a unigram made of it, not those of its own merges. Characters without a piece cost a token for each
+UTF-8 byte.
 
-Cases: a null or empty text, or one of white space, has 0 tokens; pre-tokens of any length are counted whole.
+Cases: a null or empty text, or one of white space, has 0 tokens; pre-tokens of any length are counted whole; repeated
+rows are counted each; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from gleaner.llm.common import text_chunks, with_package, words_of
 MARK = "▁"
 #: Distinct pre-tokens whose counts a worker keeps.
 KEPT = 500_000
-#: Pre-tokens longer than this leave the trie and are counted alone, in the same way.
-LONG = 200
+#: Pre-tokens at a level of the trie from which on branches are walked depth first.
+FEW = 16
 NONE = -(1 << 60)
 
 
@@ -91,7 +96,7 @@ class Vocabulary:
         score[0, 0] = 0
         active, depth = np.flatnonzero(size), 0
         node = np.zeros(len(active), np.int64)
-        while len(active):
+        while len(active) > FEW:
             keys, new = np.unique(node << 21 | points[begin[active] + depth], return_inverse=True)
             parent, c = keys >> 21, keys & (1 << 21) - 1
             states = np.empty((len(keys), width), np.int64)
@@ -111,27 +116,40 @@ class Vocabulary:
             ended = size[active] == depth
             out[active[ended]] = least[node[ended]]
             active, node = active[~ended], node[~ended]
+        # forward scores and counts from the node's last ancestors on, the root's first
+        branches = sorted((words[k], int(n), int(k)) for k, n in zip(active, node))
+        walked, last, best, least = "", -1, [], []
+        for word, n, k in branches:
+            first = max(0, depth - width + 1)  # the first position whose score is at hand
+            if n != last:
+                walked, last = word[:depth], n
+                best, least = score[n, : depth - first + 1].tolist()[::-1], count[n, : depth - first + 1].tolist()[::-1]
+            shared = depth
+            while shared < min(len(word), len(walked)) and word[shared] == walked[shared]:
+                shared += 1
+            del best[shared - first + 1 :], least[shared - first + 1 :]
+            self._walk(word, shared, first, best, least)
+            walked, out[k] = word, least[len(word) - first]
         return out
 
-    def count_alone(self, word: str) -> int:
-        """Tokens of one word."""
-        best, n = [0], [0]
-        for end in range(1, len(word) + 1):
+    def _walk(self, word: str, done: int, first: int, best: list[int], least: list[int]) -> None:
+        """Adds forward scores and counts of the word's positions after ``done``; the lists begin with position ``first``."""
+        pieces, longest = self.pieces, self.longest
+        for end in range(done + 1, len(word) + 1):
             found, tokens = NONE, 0
-            for begin in range(max(0, end - self.longest), end):
-                s = self.pieces.get(word[begin:end])
-                if s is None and begin == end - 1:
+            for begin in range(max(first, end - longest), end):
+                s = pieces.get(word[begin:end])
+                if s is not None:
+                    here, more = best[begin - first] + s, least[begin - first] + 1
+                elif begin == end - 1:
                     wide = len(word[begin].encode("utf-8", "surrogatepass"))
-                    here, more = best[begin] + self.byte_score * wide, n[begin] + wide
-                elif s is None:
-                    continue
+                    here, more = best[begin - first] + self.byte_score * wide, least[begin - first] + wide
                 else:
-                    here, more = best[begin] + s, n[begin] + 1
+                    continue
                 if here > found or here == found and more < tokens:
                     found, tokens = here, more
             best.append(found)
-            n.append(tokens)
-        return n[-1]
+            least.append(tokens)
 
     def count(self, words: pa.StringArray) -> np.ndarray:
         """Tokens of each distinct pre-token; counts of those met before are kept."""
@@ -140,11 +158,7 @@ class Vocabulary:
         place = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(place))
         if len(new):
-            marked = [MARK + w for w in new.to_pylist()]
-            counts = np.zeros(len(marked), np.int64)
-            short = np.array([len(w) <= LONG for w in marked])
-            counts[short] = self.count_trie([w for w in marked if len(w) <= LONG])
-            counts[~short] = [self.count_alone(w) for w in marked if len(w) > LONG]
+            counts = self.count_trie([MARK + w for w in new.to_pylist()])
             self.words, self.counts = pa.concat_arrays([self.words, new]), np.append(self.counts, counts)
             place = pc.index_in(words, value_set=self.words)
         return self.counts[place.to_numpy()]

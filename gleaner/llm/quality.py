@@ -7,8 +7,10 @@ n-grams are of characters, of one to four, over the text's shape (letters, capit
 runs of one sign as two at most, other bytes as they are), and of words, hashed. How many words repeat the one
 before, and how many lines repeat, enters as an indicator of its band.
 
-Cases: a null or empty text has only the band indicators and is scored with them; rows without a label, or with
-a null one, are not learned from; labels of only one class give that class's share as every score.
+Cases: a null or empty text has only the band indicators and is scored with them; texts of any length are read whole;
+rows without a label, or with a null one, are not learned from; labels of only one class give that class's share as
+every score, none at all 0.5; repeated rows are learned from once and scored each; an empty table gives an empty
+result; further columns are not read (``score`` with ``keep`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from gleaner.llm.common import extended, text_chunks, with_package
+from gleaner.llm.common import extended, labelled, text_chunks, unused, with_package
 
 #: Hashed features.
 BITS = 18
-#: Labelled rows that the model is fitted to, at most: those of the smallest hashes.
-MAX_ROWS = 6000
+#: Labelled rows that the model is fitted to, at most, and bytes of their texts: rows of the smallest hashes.
+MAX_ROWS, MAX_BYTES = 6000, 100_000_000
 
 _SHAPE = np.frombuffer(bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256)), np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -129,38 +131,44 @@ def _curve(margins: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "quality") -> Model:
-    """Fits the model to at most ``max_rows`` of the labelled rows given; which ones hangs on hashes of their ids only.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, label: str = "quality") -> Model:
+    """Fits the model to at most ``max_rows`` of the labelled rows given, of ``max_bytes`` of text together.
 
-    The driver gets feature numbers of those rows, not their texts.
+    Which ones hangs on hashes of their ids only. The driver gets feature numbers of those rows, not their texts.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
             found = [features((t or "").encode()).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
-    # max_rows bounds the broadcast side
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = with_package(texts).mapInArrow(run, "doc_id bigint, label int, found binary").collect()
+    texts = labelled(docs, labels, label, max_rows, max_bytes)
+    got = with_package(texts).mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, found binary").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["found"]))
     return fit([np.frombuffer(r["found"], np.int32) for r in got], np.array([r["label"] for r in got], np.int64))
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id and score of each whole text; with ``keep``, the other columns of the documents too."""
+def score(docs: DataFrame, model: Model, keep: bool = False, name: str = "score") -> DataFrame:
+    """doc_id and score of each whole text; with ``keep``, the other columns of the documents too.
+
+    ``name`` is that of the score's column; with ``keep`` no column of the documents may have it.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     rows = docs if keep else docs.select("doc_id", "text")
-    schema = extended((rows if keep else rows.select("doc_id")).schema, "score", DoubleType())
+    schema = extended((rows if keep else rows.select("doc_id")).schema, name, DoubleType())
     names = schema.fieldNames()[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in text_chunks(batches, "text"):
             scores = [m.score(features((t.as_py() or "").encode())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, name])
 
     return with_package(rows).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents that score ``least`` or more, with their columns, whatever their names."""
+    (name,) = unused(docs.columns, "score")
+    return score(docs, model, keep=True, name=name).where(F.col(name) >= least).select(docs.columns)

@@ -1,10 +1,14 @@
 """URL filters: rules by host suffix and path prefix, and gradient-boosted trees for what no rule decides.
 
-The trees see lexical features of the url alone and are trained from the urls that a rule decides.
+The trees see lexical features of the url, and statistics of its host's suffix (the last label) over all pages: how
+many urls have it, and which share of those that a rule decides is blocked, smoothed and, in training, without the url
+itself. They are trained from the urls that a rule decides.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; it is scored as an empty
 text; without decided urls of both kinds every other url is allowed or blocked as the decided ones are (allowed
-if there are none); equal rules give the same verdict, the first listed naming it.
+if there are none); equal rules give the same verdict, the first listed naming it; urls of any length are read whole;
+repeated rows are judged each, and repeated urls are learned from once; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import with_package
+from gleaner.llm.common import joined, with_package, written
 
 ALLOW, BLOCK = "allow", "block"
 #: Decided urls that the trees are trained from, at most.
@@ -60,7 +64,7 @@ def by_rule(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFr
 
 FEATURES = (
     "length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digits", "hyphens in host", "entropy", "host entropy",
-    "parameters", "query length", "has fragment", "last label length", "last label is com", "last label is net", "last label is org", "longest label", "vowel ratio of host", "https",
+    "parameters", "query length", "has fragment", "last label length", "longest label", "vowel ratio of host", "https", "urls with the suffix", "blocked share of the suffix",
 )
 
 
@@ -71,18 +75,17 @@ def _entropy(text: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def lexical(url: str | None) -> list[float]:
-    """The numbers of FEATURES."""
+def lexical(url: str | None, times: int = 0, blocked: int = 0, decided: int = 0) -> list[float]:
+    """The numbers of FEATURES; times, blocked, decided: urls with the suffix, and those of them blocked and decided by rules."""
     url = url or ""
     scheme, _, rest = url.partition("://")
     rest, _, fragment = rest.partition("#")
     rest, _, query = rest.partition("?")
     host, slash, path = rest.partition("/")
     labels, digits = host.split("."), sum(c.isdigit() for c in url)
-    last = labels[-1].lower()
     return [
         len(url), len(host), len(slash + path), len(labels), path.count("/") + bool(slash), digits / max(1, len(url)), sum(c.isdigit() for c in host), host.count("-"), _entropy(url), _entropy(host),
-        query.count("=") , len(query), bool(fragment), len(last), last == "com", last == "net", last == "org", max(map(len, labels)), sum(c in "aeiou" for c in host.lower()) / max(1, len(host)), scheme.lower() == "https",
+        query.count("=") , len(query), bool(fragment), len(labels[-1]), max(map(len, labels)), sum(c in "aeiou" for c in host.lower()) / max(1, len(host)), scheme.lower() == "https", np.log1p(times), (blocked + 1) / (decided + 2),
     ]
 
 
@@ -140,26 +143,40 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
     return Trees(base, *map(np.array, made))
 
 
+def with_suffixes(decided: DataFrame) -> DataFrame:
+    """Adds suffix and its numbers of urls, of those a rule blocks and of those a rule decides, over all rows (with host and decided)."""
+    rows = decided.withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
+    known, bad = F.count("decided"), F.count_if(F.col("decided") == BLOCK)
+    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("*").alias("suffix_urls"), bad.alias("suffix_blocked"), known.alias("suffix_decided"))
+    return joined(rows, stats, ["suffix"], rows.count())
+
+
+STATS = ["suffix_urls", "suffix_blocked", "suffix_decided"]
+
+
 def train(decided: DataFrame, url: str = "url", max_rows: int = MAX_ROWS) -> Trees:
     """Trains from at most ``max_rows`` decided urls; which ones hangs on hashes of the urls only."""
-    rows = decided.where(F.col("decided").isNotNull() & F.col(url).isNotNull()).select(url, (F.col("decided") == BLOCK).cast("int").alias("y")).distinct()
+    rows = decided.where(F.col("decided").isNotNull() & F.col(url).isNotNull()).select(url, (F.col("decided") == BLOCK).cast("int").alias("y"), *STATS).distinct()
     got = rows.orderBy(F.xxhash64(url), url, "y").limit(max_rows).collect()
-    return boost(np.array([lexical(r[url]) for r in got], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float))
+    x = [lexical(r[url], r["suffix_urls"], r["suffix_blocked"] - r["y"], r["suffix_decided"] - 1) for r in got]
+    return boost(np.array(x, float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", max_rows: int = MAX_ROWS) -> DataFrame:
     """key, host, path, rule, verdict and the trees' probability that the url is to be blocked."""
-    decided = by_rule(pages.select(key, url), rules, url)
-    sent = pages.sparkSession.sparkContext.broadcast(train(decided, url, max_rows))
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
+    decided = written(with_suffixes(by_rule(rows, rules, "_url")), "decided")
+    sent = pages.sparkSession.sparkContext.broadcast(train(decided, "_url", max_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = 1 / (1 + np.exp(-np.clip(sent.value.margin(np.array([lexical(u) for u in batch.column(url).to_pylist()], float)), -40, 40)))
+            x = [lexical(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("_url", *STATS)))]
+            p = 1 / (1 + np.exp(-np.clip(sent.value.margin(np.array(x, float)), -40, 40)))
             by = batch.column("decided").to_pylist()
             verdict = [d or (BLOCK if x >= 0.5 else ALLOW) for d, x in zip(by, p)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (key, "host", "path", "rule")), pa.array(verdict), pa.array(p)], names=[key, "host", "path", "rule", "verdict", "block_probability"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_key", "host", "path", "rule")), pa.array(verdict), pa.array(p)], names=[key, "host", "path", "rule", "verdict", "block_probability"])
 
     kind = pages.schema[key].dataType.simpleString()
     return with_package(decided).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string, block_probability double")

@@ -7,7 +7,10 @@ apostrophe, which may take letters with it) and a character of another class. Ma
 their start, and those on either side of such places neither reach over nor look beyond them to any effect, so
 the tokens outside the window are those of the whole text. Decoding concatenates up the same kind of tree.
 
-Cases: a null text counts as empty (no ids); a text without any safe place is one window, encoded whole.
+Leaves and windows are encoded by the library for such vocabularies, each as a text of its own.
+
+Cases: a null text counts as empty (no ids); a text without any safe place is one window, encoded whole, however long;
+repeated rows are encoded each; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import text_chunks, with_package
 
 #: Characters, or ids, that a leaf of the tree holds.
-LEAF = 1024
+LEAF = 256
 #: Characters on either side of a seam that the first window holds.
 WINDOW = 16
 SAFE = regex.compile(r"(?<=\p{L})(?!\p{L}).|(?<=\p{N})(?!\p{N}).|(?<=[^\s\p{L}\p{N}'])[\s\p{L}\p{N}]|(?<=')[\s\p{N}]", regex.S)

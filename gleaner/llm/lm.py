@@ -11,7 +11,8 @@ weighted by tokens, is the model, and the start of a second pass. Word counts co
 the most frequent words (a fixed number) go to every task; the others meet the texts' words in a join.
 
 Cases: a null or empty text is its end token alone; a null id counts as the empty text for the fold; without
-training texts every count is 0, and scores come from the untrained model.
+training texts every count is 0, and scores come from the untrained model; texts of any length are read whole; repeated
+rows are learned from and scored each; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""The corpus pipeline: from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Cases, in every stage: an empty table gives an empty one; documents without text do not pass the rules; texts of any
+length are read whole; repeated rows are judged each, and one of them stays in near-dedup; further columns are kept
+up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +20,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Training reads the corpus's own labelled documents; a document without text is rejected as any poor one.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=True).where("score >= 0.5").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose content lines hold enough of their words."""
     field = rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rules.apply(docs, field, keep=True).where("kept").select(docs.columns)
+    return rules.accepted(docs, field)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Least width and height of an image that is no thumbnail.
+#: Fixed value: least width and height of an image that is no thumbnail.
 THUMBNAIL = 600
-#: Sensitivity from which a file is critical without being told.
+#: Fixed value: sensitivity from which a file is critical without being told.
 CRITICAL = 4
 
 
+# Types of failures of a local model's server.
+NOT_SET_UP, NOT_STARTED = ("LlamaServerBinaryError",), ("LlamaServerSpawnError", "LlamaServerCrashError")
+
+
 def visual_score(ext: Column, density: Column, extractable: Column, image_ratio: Column, width: Column, height: Column) -> Column:
-    """0 to 10: how much a file needs to be seen rather than read. Unknown sizes of images add nothing."""
+    """0 to 10: how much a file needs to be seen rather than read. Unknown sizes of images add nothing.
+
+    Its bounds and points are fixed values.
+    """
     is_pdf, is_image = ext == ".pdf", ext.isin(".jpg", ".jpeg", ".png", ".webp", ".gif", ".bmp", ".tiff", ".heic")
     sparse = F.when(density < 50, 5).when(density < 500, 2).otherwise(0) + F.when(~extractable, 3).otherwise(0)
     aspect = F.coalesce(F.try_divide(width, height), F.when(width.isNotNull() & height.isNotNull(), 1.0))
@@ -39,14 +46,14 @@ def page_label(text: Column) -> Column:
 
 
 def failure(name: Column, message: Column) -> Column:
-    """status and kind of a failure, by its type's name first where that is telling, then by its message."""
+    """status and kind of a failure: a few types' names first, as a path in a message may hold any word, then its message."""
     low = F.coalesce(F.lower(message), F.lit(""))
     has = lambda *parts: low.rlike("|".join(parts))
     pair = lambda status, kind: F.struct(F.lit(status).alias("status"), F.lit(kind).alias("kind"))
     return (
-        F.when(has("429", "rate", "quota"), pair(503, "busy")).when(has("401", "403", "unauthor", "api key"), pair(401, "account"))
+        F.when(name.isin(*NOT_SET_UP), pair(503, "not set up")).when(name.isin(*NOT_STARTED), pair(503, "not started")).when(has("429", "rate", "quota"), pair(503, "busy")).when(has("401", "403", "unauthor", "api key"), pair(401, "account"))
         .when(name.isin("ConnectionError", "TimeoutError") | has("connection"), pair(503, "network"))
-        .when((name == "FileNotFoundError") | has("no such file"), pair(404, "missing")).when(has("collection"), pair(503, "starting")).otherwise(pair(500, "unknown"))
+        .when((name == "FileNotFoundError") | has("no such file"), pair(404, "missing")).when(has("qdrant", "collection"), pair(503, "starting")).otherwise(pair(500, "unknown"))
     )
 
 

@@ -1,11 +1,28 @@
-"""Retrieval: sparse, dense, late-interaction and quantised search, rank fusion."""
+"""Retrieval: sparse, dense, late-interaction and quantised search, rank fusion.
+
+Queries are a stated set, asked of all rows. A set of at most GROUP queries goes to the rows where they lie; a larger one
+is cut into groups, and rows are dealt to each group. Either way a task multiplies a batch of rows with one group and
+keeps each query's best, so no pairs are shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.staging import written
+from gleaner.workers import with_package
+
+#: Queries that a task holds, and rows that it multiplies with them at once.
+GROUP, ROWS = 4096, 8192
+#: Rows of a group's part when rows are dealt.
+PART = 262_144
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -15,7 +32,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
 
 
 def term_weights(texts: DataFrame, key: str, text: str, k1: float, b: float, average: Column | None = None) -> DataFrame:
-    """key, term and the saturated weight of the term in the text."""
+    """key, term and the saturated weight of the term in the text: a sparse vector in rows."""
     found = texts.select(key, T.tokens(F.col(text)).alias("_t")).withColumn("_len", F.size("_t"))
     terms = found.select(key, "_len", F.explode("_t").alias("term")).groupBy(key, "_len", "term").agg(F.count("*").alias("_tf"))
     if average is None:
@@ -25,57 +42,221 @@ def term_weights(texts: DataFrame, key: str, text: str, k1: float, b: float, ave
     return terms.select(key, "term", weight.alias("w"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def sparse_vectors(texts: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, average: Column | None = None) -> DataFrame:
+    """key, and the terms of each text (sorted) with their weights, as two arrays."""
+    pair = F.array_sort(F.collect_list(F.struct("term", "w")))
+    found = term_weights(texts, key, text, k1, b, average).groupBy(key).agg(pair.alias("_p"))
+    return found.select(key, F.transform("_p", lambda x: x["term"]).alias("terms"), F.transform("_p", lambda x: x["w"]).alias("weights"))
+
+
+def lists_of(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+
+
+def _told(texts: DataFrame, key: str, terms: pa.Array) -> DataFrame:
+    """key, n (tokens), ids (of the terms that the text has, each once) and tf of each text."""
+    sent = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("_t")
+            n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+            place = pc.fill_null(pc.index_in(tokens.flatten(), value_set=sent.value), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            pairs, tf = np.unique(row[place >= 0] * (len(sent.value) + 1) + place[place >= 0], return_counts=True)
+            each = np.bincount(pairs // (len(sent.value) + 1), minlength=len(n))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n), lists_of(pairs % (len(sent.value) + 1), each), lists_of(tf, each)], names=[key, "n", "ids", "tf"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return with_package(texts.select(key, T.tokens(F.col("text")).alias("_t"))).mapInArrow(run, f"`{key}` {kind}, n bigint, ids array<bigint>, tf array<bigint>")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int = 5, k1: float = 1.2, b: float = 0.75, most: int = 500_000) -> DataFrame:
     """query, key, score and rank. Queries are weighted as documents are, and terms by their inverse document frequency.
 
-    Postings meet queries on terms only; the number of documents is one row.
+    Texts are read into tokens once. Of each, only the terms that some query holds are kept; a task multiplies them with
+    the queries' weights. Queries of over ``most`` terms together are joined with postings on terms instead.
     """
-    postings = term_weights(docs, key, "text", k1, b)
+    spark = docs.sparkSession
     asked = term_weights(queries, query, "text", k1, b, F.lit(256.0)).withColumnRenamed("w", "q")
+    got = asked.orderBy(query, "term").limit(most + 1).toArrow()
+    if len(got) > most:
+        return _bm25_joined(docs, asked, key, query, k, k1, b)
+    terms = pc.unique(got["term"].combine_chunks())
+    ids = pc.unique(got[query].combine_chunks())
+    told = written(_told(docs, key, terms), "postings")
+    total, mean = told.agg(F.count("*"), F.avg("n")).first()
+    df = np.zeros(len(terms))
+    for r in told.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # of the queries' terms only
+        df[r["id"]] = r["count"]
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    column, row, weight = (x.to_numpy() for x in (pc.index_in(got[query].combine_chunks(), value_set=ids), pc.index_in(got["term"].combine_chunks(), value_set=terms), got["q"].combine_chunks()))
+    blocks = []
+    for at in range(0, len(ids), 256):  # terms of some queries at a time: a dense matrix of their own
+        own = (column >= at) & (column < at + 256)
+        used, where = np.unique(row[own], return_inverse=True)
+        matrix = np.zeros((len(used) + 1, min(256, len(ids) - at)))
+        matrix[where, column[own] - at] = weight[own] * idf[row[own]]
+        place = np.full(len(terms) + 1, len(used))
+        place[used] = np.arange(len(used))
+        blocks.append((at, matrix, place))
+    sent = spark.sparkContext.broadcast(blocks)
+    scalar = (mean or 1.0, k1, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, k1, b = scalar
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                each = pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
+                found, tf = batch.column("ids").flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
+                length = np.repeat(batch.column("n").to_numpy(), each)
+                w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+                full = np.flatnonzero(each)
+                if not len(full):
+                    continue
+                starts = (np.cumsum(each) - each)[full]
+                for at, matrix, place in sent.value:
+                    spot = place[found]
+                    score = np.zeros((len(full), matrix.shape[1]))
+                    for part in range(0, len(full), 64):  # so that the rows at hand stay small
+                        rows = slice(starts[part], starts[part + 64] if part + 64 < len(full) else len(found))
+                        score[part : part + 64] = np.add.reduceat(matrix[spot[rows]] * w[rows, None], starts[part : part + 64] - starts[part], axis=0)
+                    score = np.round(score, 6)
+                    q, d = best_of(score.T, k, score.T > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(q + at), batch.column(key).take(pa.array(full[d])), pa.array(score[d, q])], names=["q", key, "score"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    hits = with_package(told).mapInArrow(run, f"q bigint, `{key}` {kind}, score double")
+    names = spark.createDataFrame(list(enumerate(ids.to_pylist())), f"q bigint, `{query}` {queries.schema[query].dataType.simpleString()}")
+    return ranked(hits, ["q"], [F.desc("score"), F.col(key)], k).join(F.broadcast(names), "q").select(query, key, "score", "rank")
+
+
+def _bm25_joined(docs: DataFrame, asked: DataFrame, key: str, query: str, k: int, k1: float, b: float) -> DataFrame:
+    """The same through joins on terms, for any number of queries."""
+    postings = written(term_weights(docs, key, "text", k1, b).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     total = docs.agg(F.count("*").alias("_n"))
-    df = postings.groupBy("term").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(total))
-    idf = df.select("term", F.ln(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("idf"))
-    hits = postings.join(asked, "term").join(idf, "term").groupBy(query, key).agg(F.round(F.sum(F.col("q") * F.col("w") * F.col("idf")), 6).alias("score"))
+    idf = postings.groupBy("term").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(total)).select("term", F.ln(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("idf"))
+    hits = postings.join(asked.join(idf, "term"), "term").groupBy(query, key).agg(F.round(F.sum(F.col("q") * F.col("w") * F.col("idf")), 6).alias("score"))
     return ranked(hits, [query], [F.desc("score"), F.col(key)], k)
 
 
+def best_of(score: np.ndarray, k: int, fits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k greatest scores and those equal to the last of them, where ``fits``."""
+    if fits is not None:
+        score = np.where(fits, score, -np.inf)
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        held = score >= least[:, None]
+    else:
+        held = np.ones(score.shape, bool)
+    return np.nonzero(held & (score > -np.inf))
+
+
+Scorer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def products(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all pairs, to rank by and to tell."""
+    score = np.round(queries @ rows.T, 6)
+    return score, score
+
+
+def eighths(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of vectors cut to 8 bits, to rank by, and those in full."""
+    small = lambda x: np.trunc(x * 127 + np.copysign(0.5, x))  # noqa: E731  half away from zero
+    return small(queries) @ small(rows).T, np.round(queries @ rows.T, 6)
+
+
+def scored(vectors: DataFrame, queries: DataFrame, k: int, scorer: Scorer = products, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, vec_id, first (what the scorer ranks by) and score of pairs, among them each query's k greatest by first."""
+    whole = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows, asked = whole(vectors), whole(queries)
+    schema = "query_id bigint, vec_id bigint, first double, score double"
+
+    def table(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = batch["id"], batch["v"]
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        return ids.to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def pairs(ids: np.ndarray, v: np.ndarray, asked: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), ROWS):
+            for q in range(0, len(asked[0]), 512):
+                first, score = scorer(v[at : at + ROWS], asked[1][q : q + 512])
+                a, b = best_of(first, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[0][q : q + 512][a]), pa.array(ids[at : at + ROWS][b]), pa.array(first[a, b].astype(float)), pa.array(score[a, b])], names=["query_id", "vec_id", "first", "score"])
+
+    few = asked.limit(GROUP + 1).toArrow()
+    if len(few) <= GROUP:
+        sent = vectors.sparkSession.sparkContext.broadcast(table(few) if len(few) else None)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and sent.value:
+                    yield from pairs(*table(batch), sent.value)
+
+        return with_package(rows).mapInArrow(run, schema)
+    groups, parts = -(-asked.count() // GROUP), -(-rows.count() // PART)
+    side = lambda df, n, part, of, other: df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(part), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(of - 1).cast("bigint"))).alias(other), "id", "v")
+    left = side(rows, parts, "part", groups, "group").select("part", "group", "id", "v", F.lit(0).alias("side"))
+    right = side(asked, groups, "group", parts, "part").select("part", "group", "id", "v", F.lit(1).alias("side"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        own, asked = t.filter(pc.equal(t["side"], 0)), t.filter(pc.equal(t["side"], 1))
+        if len(own) and len(asked):
+            yield from pairs(*table(own), table(asked))
+
+    return with_package(left.union(right)).groupBy("part", "group").applyInArrow(meet, schema)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score and rank, exact, for a stated few queries, which go to every task."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    hits = vectors.crossJoin(q).select("query_id", "vec_id", F.round(T.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return ranked(hits, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    """query_id, vec_id, score and rank of each query's k nearest rows, exact; ties go to the smaller id."""
+    hits = scored(vectors, queries, k)
+    return ranked(hits, ["query_id"], [F.desc("score"), F.col("vec_id")], k).select("query_id", "vec_id", "score", "rank")
 
 
 def quantised(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """A cheap first pass over 8-bit components for twice as many rows, scored again in full."""
-    small = lambda c: F.transform(F.col(c), lambda x: F.round(x.cast("double") * 127).cast("int"))
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), small("embedding").alias("q8")))
-    rough = vectors.crossJoin(q).select("query_id", "vec_id", "embedding", "q", F.aggregate(F.zip_with(small("embedding"), F.col("q8"), lambda x, y: x * y), F.lit(0), lambda s, x: s + x).alias("rough"))
-    first = ranked(rough, ["query_id"], [F.desc("rough"), F.col("vec_id")], 2 * k).drop("rank")
-    exact = first.select("query_id", "vec_id", F.round(T.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return ranked(exact, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    first = ranked(scored(vectors, queries, 2 * k, eighths), ["query_id"], [F.desc("first"), F.col("vec_id")], 2 * k).drop("rank")
+    return ranked(first, ["query_id"], [F.desc("score"), F.col("vec_id")], k).select("query_id", "vec_id", "score", "rank")
 
 
-def max_sim(vectors: DataFrame, queries: DataFrame, doc: str, k: int) -> DataFrame:
-    """Late interaction: of each document, the sum over query tokens of the best of its vectors."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("token"), F.col("embedding").alias("q")))
-    best = vectors.crossJoin(q).groupBy(doc, "token").agg(F.max(T.dot(F.col("embedding"), F.col("q"))).alias("m"))
-    score = best.groupBy(doc).agg(F.round(F.sum("m"), 6).alias("score"))
-    return score.orderBy(F.desc("score"), doc).limit(k)
+def max_sim(vectors: DataFrame, queries: DataFrame, doc: str, k: int, group: str | None = None) -> DataFrame:
+    """Late interaction: of each document, the sum over query tokens of the best of its vectors; the k best documents.
+
+    Tokens go to every task, GROUP of them at a time. With ``group``, the best of each query by that column.
+    """
+    by = ["_g"] if group else []
+    q = queries.select(F.col("vec_id").alias("token"), F.col("embedding").alias("q"), *([F.col(group).alias("_g")] if group else []))
+    groups, best = -(-q.count() // GROUP) or 1, None
+    for g in range(groups):
+        some = F.broadcast(q.where(F.pmod(F.xxhash64("token"), F.lit(groups)) == g))
+        found = vectors.crossJoin(some).groupBy(doc, "token", *by).agg(F.max(T.dot(F.col("embedding"), F.col("q"))).alias("m"))
+        best = found if best is None else best.union(found)
+    score = best.groupBy(doc, *by).agg(F.round(F.sum("m"), 6).alias("score"))
+    if not group:
+        return score.orderBy(F.desc("score"), doc).limit(k)
+    return ranked(score, by, [F.desc("score"), F.col(doc)], k).withColumnRenamed("_g", group)
 
 
-def fuse(lists: DataFrame, k: int, base: int, constant: int) -> DataFrame:
+def fuse(lists: DataFrame, k: int | Column, base: int, constant: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal-rank fusion of hits (list, rank, path, chunk_index, summary) keyed by path and chunk, null chunks alike.
 
     A rank r counts 1 / (constant + r - 1 + base). The summary list's last duplicate names the row's text, else
-    the fast list's first. Ties keep the order of insertion: the summary list first.
+    the fast list's first. Ties keep the order of insertion: the summary list first. With ``by``, each question's
+    lists are fused apart, and ``k`` may be a column of the hits that is the same for all of a question.
     """
     summary = F.col("list") == "summary"
     order = F.struct(F.when(summary, 1).otherwise(0).alias("first"), F.when(summary, F.col("rank")).otherwise(-F.col("rank")).alias("then"))
     place = F.struct(F.when(F.col("list") == "summary", 0).otherwise(1).alias("l"), F.col("rank").alias("r"))
-    found = lists.groupBy("path", "chunk_index").agg(
+    limit = [F.max(k).alias("_k")] if isinstance(k, Column) else []
+    found = lists.groupBy(*by, "path", "chunk_index").agg(
         F.round(F.sum(1.0 / (F.col("rank") + (constant - 1 + base))), 9).alias("score"),
         F.when(F.count_distinct("list") > 1, "both").otherwise(F.max("list")).alias("tier"),
-        F.max_by("summary", order).alias("summary"), F.min(place).alias("_at"),
+        F.max_by("summary", order).alias("summary"), F.min(place).alias("_at"), *limit,
     )
-    return found.orderBy(F.desc("score"), "_at", "path").limit(k).drop("_at")
+    if not by:
+        return found.orderBy(F.desc("score"), "_at", "path").limit(k).drop("_at")
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "_at", "path")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (F.col("_k") if limit else k)).drop("_at", "_k")

@@ -36,3 +36,42 @@ def first_copies(docs: DataFrame, key: str, content: str) -> DataFrame:
 def latest(rows: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
     """The newest n rows of each key."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where(F.col("place") <= n)
+
+
+def asset_folders(files: DataFrame, images: tuple[str, ...], documents: tuple[str, ...], least: int = 15) -> DataFrame:
+    """parent of folders that hold, of their own, at least ``least`` images and no document (parent, ext)."""
+    counts = files.groupBy("parent").agg(F.count_if(F.col("ext").isin(*images)).alias("images"), F.count_if(F.col("ext").isin(*documents)).alias("documents"))
+    return counts.where((F.col("images") >= least) & (F.col("documents") == 0)).select("parent")
+
+
+def without_assets(files: DataFrame, images: tuple[str, ...], documents: tuple[str, ...], least: int = 15) -> DataFrame:
+    """The files without the images of folders of assets; other files of such folders stay."""
+    lone = asset_folders(files, images, documents, least).withColumnRenamed("parent", "_parent")
+    return files.join(F.broadcast(lone) if lone.limit(10_001).count() <= 10_000 else lone, (F.col("parent") == F.col("_parent")) & F.col("ext").isin(*images), "left_anti")
+
+
+def exchanges(log: DataFrame) -> DataFrame:
+    """Each request with its response (request_id, kind `request` or `response`, at, body); null where there is none yet."""
+    side = lambda kind: log.where(F.col("kind") == kind).groupBy("request_id").agg(F.min_by(F.struct("at", "body"), "at").alias(kind))
+    took = F.col("response.at").cast("double") - F.col("request.at").cast("double")
+    return side("request").join(side("response"), "request_id", "left").select("request_id", F.col("request.body").alias("request"), F.col("response.body").alias("response"), took.alias("seconds"))
+
+
+def overlay(*layers: DataFrame) -> DataFrame:
+    """key, value and layer (0: the first) of settings (key, value): of each key the first layer that gives a value."""
+    out = None
+    for i, layer in enumerate(layers):
+        one = layer.where("value is not null").select("key", "value", F.lit(i).alias("layer"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("key").agg(F.min_by("value", "layer").alias("value"), F.min("layer").alias("layer"))
+
+
+def patched(settings: DataFrame, patch: DataFrame) -> DataFrame:
+    """The settings (key, value) with the values of a patch; keys that no setting has are left out."""
+    new = patch.where("value is not null").groupBy("key").agg(F.max("value").alias("_new"))
+    return settings.join(new, "key", "left").select("key", F.coalesce("_new", "value").alias("value"))
+
+
+def stale(recents: DataFrame, index_time, asked_at: str = "asked_at"):
+    """The recents with is_stale: asked before the index's time; a time that cannot be read is fresh."""
+    return recents.withColumn("is_stale", F.coalesce(F.try_to_timestamp(F.col(asked_at)) < index_time, F.lit(False)))

@@ -35,23 +35,13 @@ def extractable(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.extractable(F.col("text")).alias("extractable"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars >= 100 * 1024 THEN 'T0' WHEN substr(sha256(text), 1, 1) < '4' AND n_chars >= 4000 THEN 'T3,T2' WHEN n_chars >= 2000 THEN 'T2' WHEN n_chars = 0 THEN '' ELSE 'T1' END AS routes,
-CASE WHEN n_chars >= 100 * 1024 THEN 'T0' WHEN substr(sha256(text), 1, 1) < '4' AND n_chars >= 4000 THEN 'T3' WHEN n_chars >= 2000 THEN 'T2' WHEN n_chars = 0 THEN NULL ELSE 'T1' END AS primary_tier FROM documents""")
-def route_decision(spark, sf_dir):
-    """Each text's tiers by size and a stand-in for visual pages, and the first of them in order of preference."""
-    n, visual = F.col("n_chars"), F.substring(F.sha2("text", 256), 1, 1) < "4"
-    tiers = F.when(n >= 100 * 1024, F.array(F.lit("T0"))).when(visual & (n >= 4000), F.array(F.lit("T3"), F.lit("T2"))).when(n >= 2000, F.array(F.lit("T2"))).when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("T1")))
-    preferred = F.filter(F.array(*map(F.lit, ("T3", "T2", "T4", "T1", "T0"))), lambda t: F.array_contains(tiers, t))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(tiers, ",").alias("routes"), F.get(preferred, F.lit(0)).alias("primary_tier"))
-
-
-@query("""WITH RECURSIVE i AS (SELECT source, doc_id, n_chars / 1000.0::DOUBLE AS mb, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE n_chars >= 4000),
+@query("""WITH RECURSIVE i AS (SELECT source, doc_id, n_chars / 1000.0::DOUBLE AS mb, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
 f AS (SELECT source, n, doc_id, mb, CASE WHEN mb <= 60 THEN mb ELSE 0 END AS used, mb <= 60 AS kept FROM i WHERE n = 1
  UNION ALL SELECT i.source, i.n, i.doc_id, i.mb, CASE WHEN f.used + i.mb <= 60 THEN f.used + i.mb ELSE f.used END, f.used + i.mb <= 60 FROM f JOIN i ON i.source = f.source AND i.n = f.n + 1)
 SELECT source, doc_id, mb FROM f WHERE kept""")
 def budget_fold(spark, sf_dir):
     """What an ordered budget admits in each folder; what does not fit takes nothing."""
-    items = _docs(spark, sf_dir).where("n_chars >= 4000").select("source", "doc_id", (F.col("n_chars") / F.lit(1000.0)).alias("mb"))
+    items = _docs(spark, sf_dir).select("source", "doc_id", (F.col("n_chars") / F.lit(1000.0)).alias("mb"))
     return windows.admitted(items, "source", "doc_id", "mb", 60.0)
 
 
@@ -102,7 +92,13 @@ def neighbour_window(spark, sf_dir):
     return windows.neighbours(_numbered(spark, sf_dir), "user_id", "row_idx", "event_type", "event_type = 'error'")
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|nav|header|footer|noscript)\b.*?</(script|style|nav|header|footer|noscript)\s*>', ' ', 'g') AS t FROM pages),
+#: Each kind of part in turn, since RE2 does not look back at which one began.
+_WITHOUT = "html"
+for _tag in ("script", "style", "noscript", "nav", "header", "footer"):
+    _WITHOUT = rf"regexp_replace({_WITHOUT}, '(?is)<{_tag}\b.*?</{_tag}\s*>', ' ', 'g')"
+
+
+@query(r"""WITH a AS (SELECT page_id, """ + _WITHOUT + r""" AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM b""")
 def html_text(spark, sf_dir):
@@ -147,15 +143,6 @@ def expected_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.md5(path("o_orderkey")).alias("id")).union(rows.select(F.md5(F.concat(path("l_orderkey"), F.lit("::row:"), F.col("i").cast("string"))))).distinct()
 
 
-@query("""WITH f AS (SELECT source, count(*) FILTER (n_chars < 300) AS images, count(*) FILTER (n_chars >= 15000) AS docs FROM documents GROUP BY source)
-SELECT doc_id FROM documents WHERE NOT (n_chars < 300 AND source IN (SELECT source FROM f WHERE images >= 3 AND docs = 0))""")
-def asset_folders(spark, sf_dir):
-    """Files without the images of folders that hold nothing but images; short texts stand for images."""
-    docs = _docs(spark, sf_dir)
-    folders = docs.groupBy("source").agg(F.count_if(F.col("n_chars") < 300).alias("images"), F.count_if(F.col("n_chars") >= 15000).alias("docs")).where("images >= 3 and docs = 0").select(F.col("source").alias("folder"))
-    return docs.join(folders, (F.col("source") == F.col("folder")) & (F.col("n_chars") < 300), "left_anti").select("doc_id")
-
-
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?im)^[ \t]*(?:CHAPTER\s+|APPENDIX\s+|\d+(?:\.\d+)?)\s+[A-Za-z][^\n]{2,80}?\s+\d+[ \t]*$')) >= 5 AS is_toc FROM documents""")
 def toc_pages(spark, sf_dir):
     """Pages that are tables of contents."""

@@ -44,13 +44,13 @@ def page_label(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", routing.page_label(text).alias("label"))
 
 
-@query("""WITH e AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'FileNotFoundError' ELSE 'ValueError' END AS name, lower(coalesce(text, '')) AS t FROM conversations),
-s AS (SELECT conv_id, turn, CASE WHEN t LIKE '%429%' OR t LIKE '%rate%' OR t LIKE '%quota%' THEN 'busy' WHEN t LIKE '%401%' OR t LIKE '%403%' OR t LIKE '%unauthor%' OR t LIKE '%api key%' THEN 'account'
- WHEN name = 'TimeoutError' OR t LIKE '%connection%' THEN 'network' WHEN name = 'FileNotFoundError' OR t LIKE '%no such file%' THEN 'missing' WHEN t LIKE '%collection%' THEN 'starting' ELSE 'unknown' END AS kind FROM e)
+@query("""WITH e AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'FileNotFoundError' WHEN 2 THEN 'LlamaServerBinaryError' WHEN 3 THEN 'LlamaServerCrashError' ELSE 'ValueError' END AS name, lower(coalesce(text, '')) AS t FROM conversations),
+s AS (SELECT conv_id, turn, CASE WHEN name = 'LlamaServerBinaryError' THEN 'not set up' WHEN name = 'LlamaServerCrashError' THEN 'not started' WHEN t LIKE '%429%' OR t LIKE '%rate%' OR t LIKE '%quota%' THEN 'busy' WHEN t LIKE '%401%' OR t LIKE '%403%' OR t LIKE '%unauthor%' OR t LIKE '%api key%' THEN 'account'
+ WHEN name = 'TimeoutError' OR t LIKE '%connection%' THEN 'network' WHEN name = 'FileNotFoundError' OR t LIKE '%no such file%' THEN 'missing' WHEN t LIKE '%qdrant%' OR t LIKE '%collection%' THEN 'starting' ELSE 'unknown' END AS kind FROM e)
 SELECT conv_id, turn, kind, CASE kind WHEN 'account' THEN 401 WHEN 'missing' THEN 404 WHEN 'unknown' THEN 500 ELSE 503 END AS status FROM s""")
 def failure_kind(spark, sf_dir):
     """What kind of failure a logged message tells of."""
     k = F.col("conv_id") % 5
-    name = F.when(k == 0, "TimeoutError").when(k == 1, "FileNotFoundError").otherwise("ValueError")
+    name = F.when(k == 0, "TimeoutError").when(k == 1, "FileNotFoundError").when(k == 2, "LlamaServerBinaryError").when(k == 3, "LlamaServerCrashError").otherwise("ValueError")
     found = table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.failure(name, F.col("text")).alias("f"))
     return found.select("conv_id", "turn", "f.kind", "f.status")

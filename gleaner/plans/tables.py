@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import state
+from gleaner.operators import offerings, state
 from gleaner.plans.registry import query, table
 
 
@@ -17,11 +17,13 @@ def row_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" | ", *map(cell, ("o_orderkey", "o_custkey", "o_orderstatus"))).alias("row_text"))
 
 
-@query("""SELECT n_nationkey AS folder, count(c_custkey) AS files, CAST(coalesce(sum(CAST(c_acctbal * 100 AS BIGINT)), 0) AS BIGINT) AS size FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 7 = 0 GROUP BY n_nationkey""")
+@query("""SELECT n_nationkey AS folder, count(o_orderkey) AS files, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS size, max(o_orderdate) AS latest FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey""")
 def folder_stats(spark, sf_dir):
-    """Files and sizes of each folder; empty folders have zeros."""
-    files = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select("c_nationkey", "c_custkey", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("size"))
-    return table(spark, sf_dir, "nation").join(files, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy(F.col("n_nationkey").alias("folder")).agg(F.count("c_custkey").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    """Files, their sizes and the latest time of each folder; empty folders have zeros."""
+    files = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    told = files.groupBy(F.col("c_nationkey").alias("folder")).agg(F.count("*").alias("files"), F.sum("o_orderkey").alias("size"), F.max("o_orderdate").alias("latest"))
+    roots = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("folder"))
+    return roots.join(told, "folder", "left").select("folder", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("size", F.lit(0)).alias("size"), "latest")
 
 
 @query("""SELECT coalesce(source, 'total') AS folder, count(*) AS files, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS remaining FROM documents GROUP BY ROLLUP (source)""")
@@ -45,12 +47,12 @@ def path_depth_counts(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS place FROM c)
-SELECT source, n, round(sum(n) OVER (ORDER BY place) / (SELECT sum(n) FROM c)::DOUBLE, 6) AS cumulative_share FROM r WHERE place <= 10""")
+SELECT source, n, round(sum(n) OVER (ORDER BY place) / (SELECT sum(n) FROM c)::DOUBLE, 6) AS cumulative_share FROM r WHERE place <= 50""")
 def page_share(spark, sf_dir):
     """The largest folders and the share of all files that they hold together."""
     counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    top = counts.orderBy(F.desc("n"), "source").limit(10)  # ten rows from here on
+    top = counts.orderBy(F.desc("n"), "source").limit(50)  # fifty rows from here on
     run = Window.orderBy(F.desc("n"), "source").rowsBetween(Window.unboundedPreceding, 0)
     return top.crossJoin(F.broadcast(total)).select("source", "n", F.round(F.sum("n").over(run) / F.col("total"), 6).alias("cumulative_share"))
 
@@ -79,35 +81,17 @@ def ancestor_rule(spark, sf_dir):
     return above.join(rules, "dir").groupBy("page_id").agg(F.max_by("verdict", "depth").alias("verdict"))
 
 
-@query(r"""SELECT DISTINCT d.doc_id FROM documents d JOIN (SELECT trim(regexp_replace(regexp_replace(' /' || upper(source) || '/  x [pages 1-2]', '\s*\[[^\]]*\]\s*$', ''), '\s+', ' ', 'g')) AS cited FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0)) c ON '/' || upper(d.source) || '/ x' = c.cited""")
-def citation_semi(spark, sf_dir):
-    """Documents whose path, written loosely, is cited."""
-    docs = table(spark, sf_dir, "documents")
-    loose = F.concat(F.lit(" /"), F.upper("source"), F.lit("/  x [pages 1-2]"))
-    cited = docs.where("doc_id % 2 = 0").select(F.trim(F.regexp_replace(F.regexp_replace(loose, r"\s*\[[^\]]*\]\s*$", ""), r"\s+", " ")).alias("cited")).distinct()
-    return docs.withColumn("path", F.concat(F.lit("/"), F.upper("source"), F.lit("/ x"))).join(cited, F.col("path") == F.col("cited"), "left_semi").select("doc_id")
-
-
-@query("SELECT o_orderkey, coalesce(c_name, 'not offered') AS offering FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
+@query("SELECT d.doc_id, coalesce(CAST(quality AS VARCHAR), 'not offered') AS offering FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def enrich_left(spark, sf_dir):
-    """Rows with what they refer to, or a note that there is none."""
-    offered = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    return table(spark, sf_dir, "orders").join(offered, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("not offered")).alias("offering"))
+    """Rows with what is known of them, or a note that nothing is."""
+    offered = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("code"), F.col("quality").cast("string").alias("offering"))
+    return offerings.enriched(table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("code")), offered, "offering").drop("code")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def enrich_orphans(spark, sf_dir):
     """What nothing refers to."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query("""WITH r AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id, event_type FROM events)
-SELECT a.user_id, a.k, count(*) AS pairs FROM r a JOIN r b ON a.user_id = b.user_id AND a.k = b.k WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY a.user_id, a.k""")
-def log_join(spark, sf_dir):
-    """Requests with their responses, by the id in the logged JSON: counts of pairs."""
-    log = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
-    count = lambda kind, name: log.where(F.col("event_type") == kind).groupBy("user_id", "k").agg(F.count("*").alias(name))
-    return count("click", "a").join(count("purchase", "b"), ["user_id", "k"]).select("user_id", "k", (F.col("a") * F.col("b")).alias("pairs"))
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS place FROM conversations)
@@ -118,17 +102,6 @@ def recents_ring(spark, sf_dir):
     return state.latest(rows, ["role"], "at", 10).select("role", "conv_id", "turn", "place")
 
 
-@query("""WITH t AS (SELECT item_id, [item_id * 3, item_id * 5, item_id * 7] AS expected, [item_id * 3, item_id * 5, item_id * 11] AS used FROM benchmark)
-SELECT count(*) AS n, round(avg(len(list_intersect(expected, used)) / len(list_distinct(expected))::DOUBLE), 6) AS recall, count(*) FILTER (len(list_intersect(list_distinct(expected), used)) = len(list_distinct(expected))) AS perfect,
-CAST(sum(len(list_filter(list_distinct(used), lambda x: NOT list_contains(expected, x)))) AS BIGINT) AS distractors FROM t""")
-def eval_source_recall(spark, sf_dir):
-    """Recall of expected sources, how many questions have all of them, and sources that should not be there."""
-    ids = lambda *n: F.array(*(F.col("item_id") * k for k in n))
-    t = table(spark, sf_dir, "benchmark").select(ids(3, 5, 7).alias("expected"), ids(3, 5, 11).alias("used"))
-    found, want = F.size(F.array_intersect("expected", "used")), F.size(F.array_distinct("expected"))
-    return t.agg(F.count("*").alias("n"), F.round(F.avg(found / want), 6).alias("recall"), F.count_if(found == want).alias("perfect"), F.sum(F.size(F.array_except("used", "expected"))).alias("distractors"))
-
-
 @query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY event_type""")
 def outcome_tally(spark, sf_dir):
     """Counts by outcome."""
@@ -141,22 +114,9 @@ def loopback_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.loopback(F.col("url")).alias("is_local"))
 
 
-@query("""SELECT event_id, coalesce(ts < TIMESTAMP '2024-01-15 00:00:00', false) AS is_stale FROM events""")
-def staleness(spark, sf_dir):
-    """Answers older than the index."""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.col("ts") < F.to_timestamp(F.lit("2024-01-15 00:00:00")), F.lit(False)).alias("is_stale"))
-
-
 @query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) SELECT doc_id, lines[1] AS first_line, lines[(len(lines) // 2) + 1] AS middle_line, lines[len(lines)] AS last_line FROM p""")
 def three_point_sample(spark, sf_dir):
     """The first, the middle and the last line of a text."""
     lines = F.split("text", "\n")
     at = lambda i: F.element_at(lines, i)
     return table(spark, sf_dir, "documents").select("doc_id", at(F.lit(1)).alias("first_line"), at((F.size(lines) / 2).cast("int") + 1).alias("middle_line"), at(F.lit(-1)).alias("last_line"))
-
-
-@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'env' END, CASE WHEN o_orderkey % 2 = 0 THEN 'user' END, 'default') AS setting FROM orders""")
-def settings_overlay(spark, sf_dir):
-    """A setting from the environment, else the user's, else the default."""
-    key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(key % 3 == 0, "env"), F.when(key % 2 == 0, "user"), F.lit("default")).alias("setting"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from gleaner.workers import with_package
 
 Element = ElementTree.Element
+#: What a damaged, encrypted or foreign archive may raise.
+BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, KeyError, IndexError, ValueError, ElementTree.ParseError)
 
 
 def _named(node: Element, name: str) -> list[Element]:
@@ -34,14 +38,44 @@ def _numbered(book: zipfile.ZipFile, pattern: str) -> list[str]:
     return sorted((n for n in book.namelist() if re.fullmatch(pattern, n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
 
 
+def _targets(book: zipfile.ZipFile, name: str) -> dict[str, tuple[str, str]]:
+    """Kind and target of each relation in a part of relations, by its id."""
+    if name not in book.namelist():
+        return {}
+    return {x.get("Id", ""): (x.get("Type", "").rpartition("/")[2].lower(), x.get("Target", "")) for x in _named(_part(book, name), "Relationship")}
+
+
+def related_images(book: zipfile.ZipFile, name: str) -> int:
+    return sum("image" in kind for kind, _ in _targets(book, name).values())
+
+
+def paragraphs(book: zipfile.ZipFile) -> list[str]:
+    """The paragraphs outside tables that hold text."""
+    body = _part(book, "word/document.xml")
+    inside = {id(p) for t in _named(body, "tbl") for p in _named(t, "p")}
+    return [t for p in _named(body, "p") if id(p) not in inside and (t := _text(p).strip())]
+
+
 def text_document(book: zipfile.ZipFile) -> str:
     """Paragraphs that hold text, then the rows of tables, cells between tabs."""
-    body = _part(book, "word/document.xml")
-    tables = _named(body, "tbl")
-    inside = {id(p) for t in tables for p in _named(t, "p")}
-    lines = [t for p in _named(body, "p") if id(p) not in inside and (t := _text(p).strip())]
+    tables = _named(_part(book, "word/document.xml"), "tbl")
     rows = ["\t".join(_text(c).strip() for c in _named(r, "tc")) for t in tables for r in _named(t, "tr")]
-    return "\n".join(lines + [r for r in rows if r.strip()])
+    return "\n".join(paragraphs(book) + [r for r in rows if r.strip()])
+
+
+@dataclass(frozen=True)
+class Slide:
+    texts: list[str]  # of its shapes that hold any
+    images: int
+
+
+def slide_shapes(book: zipfile.ZipFile) -> list[Slide]:
+    out = []
+    for name in _numbered(book, r"ppt/slides/slide\d+\.xml"):
+        slide = _part(book, name)
+        texts = ["\n".join(_text(p) for p in _named(x, "p")) for x in _named(slide, "sp")]
+        out.append(Slide([t for t in texts if t.strip()], len(_named(slide, "pic"))))
+    return out
 
 
 def slides(book: zipfile.ZipFile) -> str:
@@ -55,10 +89,10 @@ def slides(book: zipfile.ZipFile) -> str:
     return "\n\n".join(out)
 
 
-def sheets(book: zipfile.ZipFile) -> str:
-    """Sheets under `## Sheet: name`, the cells of rows that hold any between commas."""
+def sheet_rows(book: zipfile.ZipFile) -> Iterator[tuple[str, list[list[str]]]]:
+    """Title and rows of each sheet, in the workbook's order, found through the workbook's relations."""
     shared = [_text(x) for x in _named(_part(book, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in book.namelist() else []
-    titles = [x.get("name", "") for x in _named(_part(book, "xl/workbook.xml"), "sheet")]
+    targets, numbered = _targets(book, "xl/_rels/workbook.xml.rels"), _numbered(book, r"xl/worksheets/sheet\d+\.xml")
 
     def value(cell: Element) -> str:
         if cell.get("t") == "inlineStr":
@@ -66,11 +100,16 @@ def sheets(book: zipfile.ZipFile) -> str:
         raw = next((v.text or "" for v in _named(cell, "v")), "")
         return shared[int(raw)] if cell.get("t") == "s" and raw else raw
 
-    out = []
-    for title, name in zip(titles, _numbered(book, r"xl/worksheets/sheet\d+\.xml")):
-        rows = [[value(c) for c in _named(r, "c")] for r in _named(_part(book, name), "row")]
-        out.append("\n".join([f"## Sheet: {title}", *(", ".join(r) for r in rows if any(r))]))
-    return "\n\n".join(out)
+    for k, sheet in enumerate(_named(_part(book, "xl/workbook.xml"), "sheet")):
+        relation = next((v for key, v in sheet.attrib.items() if key.rpartition("}")[2] == "id"), "")
+        target = targets.get(relation, ("", ""))[1]
+        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}" if target else numbered[k]
+        yield sheet.get("name", ""), [[value(c) for c in _named(r, "c")] for r in _named(_part(book, name), "row")]
+
+
+def sheets(book: zipfile.ZipFile) -> str:
+    """Sheets under `## Sheet: name`, the cells of rows that hold any between commas."""
+    return "\n\n".join("\n".join([f"## Sheet: {title}", *(", ".join(r) for r in rows if any(r))]) for title, rows in sheet_rows(book))
 
 
 KINDS: dict[str, Callable[[zipfile.ZipFile], str]] = {".docx": text_document, ".pptx": slides, ".xlsx": sheets}
@@ -84,7 +123,7 @@ def extract(path: str, content: bytes | None) -> tuple[str | None, str | None]:
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as book:
             return kind(book), None
-    except (zipfile.BadZipFile, KeyError, IndexError, ValueError, ElementTree.ParseError) as e:
+    except BROKEN as e:
         return None, f"{type(e).__name__}: {e}"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from gleaner.workers import with_package  # noqa: F401  shared by the operators
+from gleaner.staging import discard, discarded, scratch, shared_dir, written  # noqa: F401  shared by the operators
+from gleaner.workers import with_package  # noqa: F401
 
 #: ASCII white space: the word separator of every contract here, and what ``bytes.split()`` splits on.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -23,42 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder, so that a lost executor costs no earlier stage.
-
-    The shuffles behind the table are dropped as soon as it is written; nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made and nothing reads any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Keys that are sent to every task, at most: those of more rows than a KEYS-th of all have.
 KEYS = 500
 

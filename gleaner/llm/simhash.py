@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from gleaner.llm.common import extended, joined, text_chunks, with_package, written
+from gleaner.llm.common import discarded, extended, joined, scratch, text_chunks, with_package, written
 from gleaner.llm.components import components
 
 #: Fingerprints in a tile.
@@ -257,6 +257,20 @@ def components_of(docs: DataFrame, radius: int = 3) -> DataFrame:
     return told.select("doc_id", F.lower(F.lpad(F.hex("_node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _firsts(rows: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
+    """The rows of each group's least id, written, with _node and _component."""
+    found = written(fingerprints(rows, keep=True, size=size, words=2, sets=True).withColumn("_id", F.col("doc_id").cast("bigint")), "documents_fp")
+    distinct = written(found.groupBy("_node", "_fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "fingerprints")
+    # the components of candidate links tell groups only: no pair of one group is left out when texts are compared
+    groups = components(links(distinct, radius, words=2))
+    # one text of each set of shingles stands for it
+    asked = distinct.join(groups, F.col("_node") == F.col("node")).select("root", "node", F.col("least").alias("_least"))
+    members = found.join(asked, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_least"))).groupBy("root", "node").agg(F.min("text").alias("text"))
+    classes = with_components(distinct, components(verified(written(members, "members"), similarity, size)))
+    of = classes.select(F.col("_node").alias("_of"), F.col("component_id").alias("_component"))
+    return written(found.join(of, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_component"))).drop("_fp", "_of"), "firsts")
+
+
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 32) -> DataFrame:
     """One document of each group of near-duplicates, with its columns: that of the least id; of equal ids one stays.
 
@@ -267,18 +281,10 @@ def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     back = [f"c{k}" for k in range(len(names))]
     key = next(k for k, n in enumerate(names) if n.lower() == "doc_id")
     text = next(k for k, n in enumerate(names) if n.lower() == "text")
-    rows = docs.toDF(*back).withColumnsRenamed({back[key]: "doc_id", back[text]: "text"})
+    with scratch() as made:
+        first = _firsts(docs.toDF(*back).withColumnsRenamed({back[key]: "doc_id", back[text]: "text"}), size, similarity, radius)
+    first = discarded(made, first)
     back[key], back[text] = "doc_id", "text"
-    found = written(fingerprints(rows, keep=True, size=size, words=2, sets=True).withColumn("_id", F.col("doc_id").cast("bigint")), "documents_fp")
-    distinct = written(found.groupBy("_node", "_fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "fingerprints")
-    # the components of candidate links tell groups only: no pair of one group is left out when texts are compared
-    groups = components(links(distinct, radius, words=2))
-    # one text of each set of shingles stands for it
-    asked = distinct.join(groups, F.col("_node") == F.col("node")).select("root", "node", F.col("least").alias("_least"))
-    members = found.join(asked, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_least"))).groupBy("root", "node").agg(F.min("text").alias("text"))
-    classes = with_components(distinct, components(verified(written(members, "members"), similarity, size)))
-    of = classes.select(F.col("_node").alias("_of"), F.col("component_id").alias("_component"))
-    first = written(found.join(of, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_component"))), "firsts")
     # rows that share the least id, or groups without ids: the least set, then the least text of them stays
     mark = F.struct("_node", F.xxhash64("text"))
     least = first.groupBy("_component").agg(F.min(mark).alias("_mark"), F.count("*").alias("_times"))

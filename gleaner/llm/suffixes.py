@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import joined, text_chunks, unused, with_package, written
+from gleaner.llm.common import discarded, joined, scratch, text_chunks, unused, with_package, written
 
 #: Bytes of an anchor and of a string; a string holds LENGTH - GRAM + 1 anchors' places.
 GRAM, LENGTH = 24, 50
@@ -298,11 +298,13 @@ def spans(docs: DataFrame, sampled: int = 2000, task_bytes: int = 48_000_000) ->
     n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) * 3 // task_bytes)
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < min(1_000_000, sampled * 1_000_000 // max(1, n))
-    found = settled(written(by_name(texts, texts.where(part("doc_id")), anchor_rows, number), "anchors"))
-    is_open = found.where(F.col("state") == OPEN)
-    single = by_name(with_stretches(texts, is_open), with_stretches(texts.where(part("doc_id")), is_open.where(part("doc"))), string_rows, number)
-    covered = found.union(settled(written(single, "strings"))).where(F.col("state") == COVERED)
-    return covered.select("doc", "mark", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("to"))
+    with scratch() as made:
+        found = settled(written(by_name(texts, texts.where(part("doc_id")), anchor_rows, number), "anchors"))
+        is_open = found.where(F.col("state") == OPEN)
+        single = by_name(with_stretches(texts, is_open), with_stretches(texts.where(part("doc_id")), is_open.where(part("doc"))), string_rows, number)
+        covered = found.union(settled(written(single, "strings"))).where(F.col("state") == COVERED)
+        out = written(covered.select("doc", "mark", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("to")), "spans")
+    return discarded(made, out)
 
 
 def runs(lo: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

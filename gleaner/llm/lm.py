@@ -1,14 +1,19 @@
 """Language-model scores: a log-bilinear model over words, trained with noise-contrastive estimation in numpy.
 
-An outcome is one of the most frequent words, or one of a few classes of all other words (by their last byte).
-Scores of outcomes are bilinear in the outcome's vector and the context's, which is a vector of the last token plus
-the mean of vectors of the tokens before it. Matrix products over batches give every outcome's score, and with it
-normalised log-probabilities; within a class words take their smoothed share of the class's training tokens, all
-words never seen counting as one more. So the probabilities of a token's alternatives sum to one.
-
-Training: every task passes over its own training texts from the same start; the mean of all tasks' parameters,
-weighted by tokens, is the model, and the start of a second pass. Word counts cover all training texts. Counts of
-the most frequent words (a fixed number) go to every task; the others meet the texts' words in a join.
+An outcome is a word with vectors of its own, or one of a few classes of all other words (by their last two bytes).
+Words get their own vectors in the order of their frequency, as more of them come with more text: all that occur
+LEAST times or more, up to WORDS. Outcomes are normalised in two steps, a group first and then the word within it;
+a group is a run of SPAN words of like frequency, or a class. Scores of groups and of words are bilinear in their
+vectors and the context's, which is a vector of the last token plus the mean of vectors of the tokens before it.
+Matrix products over batches give the scores of all groups, and of all words of a group, and with them normalised
+log-probabilities; within a class words take their smoothed share of the class's training tokens, all words never
+seen counting as one more. So the probabilities of a token's alternatives sum to one. An untrained model gives every
+outcome its share.
+
+Training: every task passes over its own training texts from the same start. A vector of the model is the mean of
+what the tasks made of it, weighted by how often each met it; so scores hang, slightly, on how the table is cut into
+tasks. Word counts cover all training texts. Counts of the most frequent words (a fixed number) go to every task; the
+others meet the texts' words in a join.
 
 Cases: a null or empty text is its end token alone; a null id counts as the empty text for the fold; without
 training texts every count is 0, and scores come from the untrained model; texts of any length are read whole; repeated
@@ -31,13 +36,15 @@ from gleaner.llm.common import remainder, text_chunks, with_package, words_of, w
 
 #: The end token: no word holds white space.
 END = "\n"
-#: Words that are outcomes of their own, with END; classes of the others; words whose counts every task has.
-WORDS, CLASSES, HEAD = 480, 32, 65_536
+#: Words with vectors of their own, END among them, at most; how often they occur at least; words of a group.
+WORDS, LEAST, SPAN = 16_384, 8, 128
+#: Classes of the other words; words whose counts every task has.
+CLASSES, HEAD = 32, 65_536
 SIZE, WINDOW = 16, 16
-#: Tokens of a step of training, and noise words of a step.
-STEP, NOISE = 4096, 64
-#: Tokens whose outcomes are scored in one product.
-ROOM = 256
+#: Tokens of a step of training, noise groups of a step, noise words of a token.
+STEP, NOISE, OTHERS = 8192, 64, 2
+#: Tokens that are scored together, and whose groups are scored in one product.
+SLAB, ROOM = 65_536, 512
 
 
 def tokens_of(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
@@ -85,25 +92,42 @@ class Head:
 
 @dataclass(frozen=True)
 class Model:
-    last: np.ndarray  # vectors of the last token; one more outcome stands for a text's start
+    last: np.ndarray  # vectors of the last token, an outcome; one more stands for a text's start
     past: np.ndarray  # of the tokens before
-    out: np.ndarray  # of outcomes
-    bias: np.ndarray
+    group: np.ndarray  # of groups: runs of words, then classes
+    group_bias: np.ndarray
+    word: np.ndarray  # of words
+    word_bias: np.ndarray
 
     @classmethod
-    def start(cls, share: np.ndarray, seed: int = 5) -> Model:
+    def start(cls, share: np.ndarray, kept: int, seed: int = 5) -> Model:
+        """Outcomes with these shares, the first ``kept`` of which are words."""
         rng, n = np.random.default_rng(seed), len(share)
         vectors = lambda k: rng.normal(0, 0.1, (k, SIZE)).astype(np.float32)
-        return cls(vectors(n + 1), vectors(n + 1), vectors(n), np.log(share).astype(np.float32))
+        of = groups_of(np.arange(n), kept)
+        mass = np.bincount(of, share)
+        zeros = lambda k: np.zeros((k, SIZE), np.float32)
+        within = np.log(share[:kept] / mass[of[:kept]])
+        return cls(vectors(n + 1), vectors(n + 1), vectors(len(mass)), np.log(mass).astype(np.float32), zeros(kept), within.astype(np.float32))
+
+    @property
+    def kept(self) -> int:
+        return len(self.word_bias)
 
     def rows(self) -> np.ndarray:
-        """All parameters, in rows of SIZE."""
-        n = len(self.bias)
-        return np.concatenate([self.last, self.past, self.out, np.resize(np.append(self.bias, np.zeros(-n % SIZE, np.float32)), (-(-n // SIZE), SIZE))])
+        """All parameters, a row of SIZE + 1 for each vector, with its bias or 0."""
+        biased = lambda x, bias: np.concatenate([x, bias[:, None]], axis=1)
+        none = np.zeros(len(self.last), np.float32)
+        return np.concatenate([biased(self.last, none), biased(self.past, none), biased(self.group, self.group_bias), biased(self.word, self.word_bias)])
 
     def of(self, rows: np.ndarray) -> Model:
-        rows, n = rows.astype(np.float32), len(self.bias)
-        return Model(rows[: n + 1], rows[n + 1 : 2 * n + 2], rows[2 * n + 2 : 3 * n + 2], rows[3 * n + 2 :].reshape(-1)[:n])
+        last, past, group, word = np.split(rows.astype(np.float32), np.cumsum([len(self.last), len(self.past), len(self.group)]))
+        return Model(last[:, :-1].copy(), past[:, :-1].copy(), group[:, :-1].copy(), group[:, -1].copy(), word[:, :-1].copy(), word[:, -1].copy())
+
+
+def groups_of(ids: np.ndarray, kept: int) -> np.ndarray:
+    """The group of each outcome."""
+    return np.where(ids < kept, ids // SPAN, ids + (-(-kept // SPAN) - kept))
 
 
 def contexts(ids: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
@@ -115,105 +139,136 @@ def contexts(ids: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray
     return last, np.maximum(first, at - WINDOW), at
 
 
-def context_vectors(model: Model, ids: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(ids) + 1, SIZE))
-    np.cumsum(model.past[ids], axis=0, out=total[1:])
-    mean = (total[end] - total[begin]) / np.maximum(end - begin, 1)[:, None]
+def context_vectors(model: Model, ids: np.ndarray, context: tuple[np.ndarray, ...], a: int, b: int) -> np.ndarray:
+    """Of the tokens from a to b; of those before them no more than a window is read."""
+    last, begin, end = (x[a:b] for x in context)
+    low = max(0, a - WINDOW)
+    total = np.zeros((b - low + 1, SIZE))
+    np.cumsum(model.past[ids[low:b]], axis=0, out=total[1:])
+    mean = (total[end - low] - total[begin - low]) / np.maximum(end - begin, 1)[:, None]
     return model.last[last] + mean.astype(np.float32)
 
 
+def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows at each of n places."""
+    out, columns = np.empty((n, rows.shape[1]), np.float32), np.ascontiguousarray(rows.T)
+    for d in range(rows.shape[1]):
+        out[:, d] = np.bincount(at, columns[d], n)
+    return out
+
+
 class Trainer:
-    """Noise-contrastive estimation with noise words shared by a step, and steps scaled by past gradients (Adagrad)."""
+    """Noise-contrastive estimation of groups, with noise shared by a step, and of words within their group, with noise of
+    each token's own; steps are scaled by past gradients (Adagrad)."""
+
+    NAMES = ("last", "past", "group", "group_bias", "word", "word_bias")
 
     def __init__(self, model: Model, share: np.ndarray, rate: float = 0.15, seed: int = 11):
-        self.model = Model(*(x.copy() for x in (model.last, model.past, model.out, model.bias)))
-        self.past = Model(*(np.full_like(x, 1e-2) for x in (model.last, model.past, model.out, model.bias)))
-        self.share, self.rate, self.rng, self.seen = np.log(share).astype(np.float32), rate, np.random.default_rng(seed), 0
-        self.ends = np.cumsum(share)
+        self.model = Model(*(getattr(model, n).copy() for n in self.NAMES))
+        self.past = Model(*(np.full_like(getattr(model, n), 1e-3 if n.startswith("word") else 1e-2) for n in self.NAMES))
+        kept = model.kept
+        self.of = groups_of(np.arange(len(share)), kept)
+        mass = np.bincount(self.of, share)
+        self.mass, self.ends = np.log(mass).astype(np.float32), np.cumsum(mass)
+        self.within, self.rate, self.rng, self.seen = model.word_bias.copy(), rate, np.random.default_rng(seed), 0
+        self.within = np.log(share[:kept] / mass[self.of[:kept]]).astype(np.float32)
+        own = np.cumsum(share[:kept])
+        self.sums, self.lows = own, np.append(0.0, own[SPAN - 1 :: SPAN])
+        self.met = [np.zeros(len(getattr(model, n))) for n in ("last", "past", "group", "word")]
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         seen = getattr(self.past, name)
         seen += gradient**2
         getattr(self.model, name).__iadd__(self.rate * gradient / np.sqrt(seen))
 
-    def step(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        m, n = self.model, len(self.model.bias)
-        last, begin, end = contexts(ids, sizes, n)
-        r = context_vectors(m, ids, last, begin, end)
-        noise = np.minimum(np.searchsorted(self.ends, self.rng.random(NOISE)), n - 1)
-        # how far the model's score of a word exceeds the expected number of its noise samples
-        own, log_noise = m.out[ids], np.float32(np.log(NOISE))
-        over = np.einsum("td,td->t", r, own) + (m.bias - self.share - log_noise)[ids]
-        up = 1 / (1 + np.exp(over))
-        down = r @ m.out[noise].T
-        down += (m.bias - self.share - log_noise)[noise]
-        np.negative(down, out=down)
-        np.exp(down, out=down)
-        down += 1
-        np.reciprocal(down, out=down)
-        g = up[:, None] * own - down @ m.out[noise]
-        out, bias = np.zeros_like(m.out), np.bincount(ids, up, n)
-        scaled = np.ascontiguousarray((up[:, None] * r).T)
-        for d in range(SIZE):
-            out[:, d] = np.bincount(ids, scaled[d], n)
-        np.subtract.at(out, noise, down.T @ r)
-        np.subtract.at(bias, noise, down.sum(0))
-        spread = np.zeros((len(ids) + 1, SIZE), np.float32)
+    def step(self, ids: np.ndarray, context: tuple[np.ndarray, ...], a: int, b: int) -> None:
+        m, kept, own = self.model, self.model.kept, ids[a:b]
+        last, begin, end = (x[a:b] for x in context)
+        r, of, n = context_vectors(m, ids, context, a, b), self.of[own], len(m.group)
+        noise = np.minimum(np.searchsorted(self.ends, self.rng.random(NOISE) * self.ends[-1]), n - 1)
+        # how far the model's score of a group exceeds the expected number of its noise samples
+        vectors, few = m.group[of], np.float32(np.log(NOISE))
+        up = 1 / (1 + np.exp(np.einsum("td,td->t", r, vectors) + (m.group_bias - self.mass - few)[of]))
+        down = 1 / (1 + np.exp(-(r @ m.group[noise].T + (m.group_bias - self.mass - few)[noise])))
+        g = up[:, None] * vectors - down @ m.group[noise]
+        group, group_bias = summed(up[:, None] * r, of, n), np.bincount(of, up, n)
+        np.subtract.at(group, noise, down.T @ r)
+        np.subtract.at(group_bias, noise, down.sum(0))
+        moves = [("group", group), ("group_bias", group_bias.astype(np.float32))]
+        self.met[2] += np.bincount(of, minlength=n)
+        words = np.flatnonzero(own < kept)
+        if len(words):
+            target, x = own[words], r[words]
+            low = self.lows[target // SPAN]
+            high = self.sums[np.minimum(target // SPAN * SPAN + SPAN, kept) - 1]
+            drawn = low[:, None] + self.rng.random((len(words), OTHERS)) * (high - low)[:, None]
+            others = np.clip(np.searchsorted(self.sums, drawn, side="right"), (target // SPAN * SPAN)[:, None], (np.minimum(target // SPAN * SPAN + SPAN, kept) - 1)[:, None])
+            offset = m.word_bias - self.within - np.float32(np.log(OTHERS))
+            mine, theirs = m.word[target], m.word[others]
+            up = 1 / (1 + np.exp(np.einsum("td,td->t", x, mine) + offset[target]))
+            down = 1 / (1 + np.exp(-(np.einsum("td,tkd->tk", x, theirs) + offset[others])))
+            g[words] += up[:, None] * mine - np.einsum("tk,tkd->td", down, theirs)
+            at = np.concatenate([target, others.T.ravel()])
+            weight = np.concatenate([up, -down.T.ravel()])
+            moves += [("word", summed(weight[:, None] * np.tile(x, (OTHERS + 1, 1)), at, kept)), ("word_bias", np.bincount(at, weight, kept).astype(np.float32))]
+            self.met[3] += np.bincount(at, minlength=kept)
+        low = max(0, a - WINDOW)
+        spread = np.zeros((b - low + 1, SIZE), np.float32)
         each = g / np.maximum(end - begin, 1).astype(np.float32)[:, None]
-        spread[end] -= each
+        spread[end - low] -= each
         whole = end - begin == WINDOW  # their windows begin at places of their own
-        spread[begin[whole]] += each[whole]
-        np.add.at(spread, begin[~whole], each[~whole])
+        spread[begin[whole] - low] += each[whole]
+        np.add.at(spread, begin[~whole] - low, each[~whole])
         spread = np.cumsum(spread, axis=0, dtype=np.float64)[:-1]
-        first, past = np.empty_like(m.last), np.empty_like(m.past)
-        columns, spread = np.ascontiguousarray(g.T), np.ascontiguousarray(spread.T)
-        for d in range(SIZE):
-            first[:, d] = np.bincount(last, columns[d], n + 1)
-            past[:, d] = np.bincount(ids, spread[d], n + 1)
-        for name, x in (("last", first), ("past", past), ("out", out), ("bias", bias.astype(np.float32))):
-            self._move(name, x / len(ids) * 32)
-        self.seen += len(ids)
+        moves += [("last", summed(g, last, len(m.last))), ("past", summed(spread, ids[low:b], len(m.past)))]
+        self.met[0] += np.bincount(last, minlength=len(m.last))
+        self.met[1] += np.bincount(ids[low:b], minlength=len(m.past))
+        for name, x in moves:
+            self._move(name, x * np.float32(32 / len(own)))
+        self.seen += len(own)
 
     def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Steps over whole texts, about STEP tokens each."""
-        for tokens, texts in grouped(sizes, STEP):
-            self.step(ids[tokens], sizes[texts])
-
-
-def grouped(sizes: np.ndarray, step: int) -> Iterator[tuple[slice, slice]]:
-    """Runs of whole texts of about ``step`` tokens, so that a run's arrays stay in cache: their tokens, their texts."""
-    ends, at = np.cumsum(sizes), 0
-    while at < len(sizes):
-        base = int(ends[at] - sizes[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + step, side="right")))
-        yield slice(base, int(ends[to - 1])), slice(at, to)
-        at = to
+        """Steps of about STEP tokens each over all texts."""
+        context = contexts(ids, sizes, len(self.model.last) - 1)
+        for a in range(0, len(ids), STEP):
+            self.step(ids, context, a, min(a + STEP, len(ids)))
 
 
 def log_probabilities(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural logarithm of each token's outcome's probability in its context."""
-    out = np.empty(len(ids), np.float64)
-    vectors, scale = np.ascontiguousarray(model.out.T), np.exp(model.bias)
-    longest = np.sqrt(np.einsum("td,td->t", model.out, model.out).max())
-    room = np.empty((ROOM, len(scale)), np.float32)
-    for tokens, texts in grouped(sizes, STEP):
-        own = ids[tokens]
-        last, begin, end = contexts(own, sizes[texts], len(model.bias))
-        r = context_vectors(model, own, last, begin, end)
-        target = np.einsum("td,td->t", r, model.out[own]) + model.bias[own]
-        reach = np.sqrt(np.einsum("td,td->t", r, r).max()) * longest
+    out, context = np.empty(len(ids), np.float64), contexts(ids, sizes, len(model.last) - 1)
+    longest = lambda x: np.sqrt(np.einsum("td,td->t", x, x).max()) if len(x) else 0.0
+    reach, of = max(longest(model.group), longest(model.word)), groups_of(np.arange(len(model.last)), model.kept)
+    for a in range(0, len(ids), SLAB):
+        own = ids[a : a + SLAB]
+        r = context_vectors(model, ids, context, a, a + len(own))
+        far = longest(r) * reach > 60  # far from what training gives; an exponential could overflow
+        group = of[own]
+        log = np.einsum("td,td->t", r, model.group[group]) + model.group_bias[group]
         for at in range(0, len(own), ROOM):
-            scores = np.matmul(r[at : at + ROOM], vectors, out=room[: min(ROOM, len(own) - at)])
-            top = 0.0
-            if reach > 60:  # far from what training gives; an exponential could overflow
-                top = scores.max(axis=1)
-                scores -= top[:, None]
-            np.exp(scores, out=scores)
-            out[tokens.start + at : tokens.start + at + len(scores)] = np.log(scores @ scale) + top
-        out[tokens] = target - out[tokens]
+            log[at : at + ROOM] -= total(r[at : at + ROOM], model.group, model.group_bias, far)
+        words = np.flatnonzero(own < model.kept)
+        words = words[np.argsort(group[words], kind="stable")]
+        begins = np.flatnonzero(np.append(True, group[words][1:] != group[words][:-1])) if len(words) else []
+        for k, to in zip(begins, [*begins[1:], len(words)]):
+            some = words[k:to]
+            low = group[some[0]] * SPAN
+            x, vectors, bias = r[some], model.word[low : low + SPAN], model.word_bias[low : low + SPAN]
+            log[some] += np.einsum("td,td->t", x, vectors[own[some] - low]) + bias[own[some] - low] - total(x, vectors, bias, far)
+        out[a : a + len(own)] = log
     return out
 
 
+def total(r: np.ndarray, vectors: np.ndarray, bias: np.ndarray, far: bool) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of all scores, for each context."""
+    scores = r @ vectors.T
+    top = scores.max(axis=1) if far else 0.0
+    if far:
+        scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return np.log(scores @ np.exp(bias)) + top
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and count of all tokens of the texts."""
 
@@ -227,13 +282,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def head_of(counts: DataFrame, words: int = WORDS, head: int = HEAD) -> Head:
+def head_of(counts: DataFrame, words: int = WORDS, head: int = HEAD, least: int = LEAST) -> Head:
     """What every task knows of the counts: ``head`` words and sums; nothing here grows with the corpus."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     got = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
     names, numbers = got["word"].combine_chunks(), got["c"].to_numpy()
     names = names if isinstance(names, pa.StringArray) else pa.array(got["word"].to_pylist(), pa.string())
-    kept = min(words, len(names))
+    kept = min(words, int((numbers >= least).sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,9 +344,9 @@ def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.flatten().to_numpy().astype(np.int64), pc.list_value_length(ids).to_numpy().astype(np.int64)
 
 
-def train(texts: DataFrame, share: np.ndarray, passes: int = 2) -> Model:
-    """The mean of what tasks learn from all their texts (ids array<smallint>), ``passes`` times."""
-    model = Model.start(share)
+def train(texts: DataFrame, share: np.ndarray, kept: int, passes: int = 1) -> Model:
+    """What tasks learn from all their texts (ids array<smallint>), ``passes`` times, each vector as a weighted mean."""
+    model = Model.start(share, kept)
     for k in range(passes):
         sent = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -299,17 +354,22 @@ def train(texts: DataFrame, share: np.ndarray, passes: int = 2) -> Model:
             trainer = Trainer(sent.value, share, seed=seed)
             for batch in batches:
                 trainer.learn(*ids_of(batch))
-            if trainer.seen:
-                rows = trainer.model.rows().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array((rows * trainer.seen).tolist()), pa.array(np.full(len(rows), trainer.seen))], names=["row", "v", "n"])
-
-        got = with_package(texts.select("ids")).mapInArrow(run, "row bigint, v array<double>, n bigint")
-        got = got.groupBy("row").agg(*(F.sum(F.col("v")[d]).alias(f"v{d}") for d in range(SIZE)), F.sum("n").alias("n")).orderBy("row").collect()
-        if got:
-            model = model.of(np.array([[r[f"v{d}"] / r["n"] for d in range(SIZE)] for r in got]))
+            times = np.concatenate(trainer.met)
+            met = np.flatnonzero(times)
+            rows = trainer.model.rows()[met].astype(np.float64) * times[met, None]
+            yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(np.ascontiguousarray(rows[:, d])) for d in range(SIZE + 1)), pa.array(times[met])], names=["row", *VALUES, "n"])
+
+        got = with_package(texts.select("ids")).mapInArrow(run, f"row bigint, {', '.join(f'{v} double' for v in VALUES)}, n double")
+        got = got.groupBy("row").agg(*(F.sum(v).alias(v) for v in VALUES), F.sum("n").alias("n")).toArrow()
+        rows = model.rows().astype(np.float64)
+        rows[got["row"].to_numpy()] = np.stack([got[v].to_numpy() for v in VALUES], axis=1) / got["n"].to_numpy()[:, None]
+        model = model.of(rows)
     return model
 
 
+VALUES = [f"v{d}" for d in range(SIZE + 1)]
+
+
 def model_logs(texts: DataFrame, model: Model) -> DataFrame:
     """key and logs, the sum of the model's log10 probabilities of each text's outcomes."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
@@ -348,4 +408,4 @@ def score_documents(docs: DataFrame, mod: int = 5, out_of: int = 1) -> DataFrame
     counts = written(word_counts(training), "counts")
     head = head_of(counts)
     found = written(coded(docs, head, mod, out_of), "coded")
-    return score(found, counts, head, train(found.where("not held_out"), head.share))
+    return score(found, counts, head, train(found.where("not held_out"), head.share, head.kept))

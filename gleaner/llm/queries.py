@@ -67,11 +67,28 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"))
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op6_quality_rules`` that SQL can give too."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op8_lm_scoring`` that SQL can give too."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def url_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op9_url_filters`` takes from rules; verdicts of its own are null here."""
+    found = op9_url_filters(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_token_counts, op3_byte_level_bpe, op4_quality_classifier, op5_exact_top_k,
         op6_quality_rules, op7_suffix_array_dedup, op8_lm_scoring, op9_url_filters, op10_simhash_near_dedup,
+        quality_rule_counts, lm_base_scores, url_rule_verdicts,
     )
 }
 
@@ -90,4 +107,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_top_k": _TOP_K_SQL}
+_COUNTS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT doc_id, i, word, lead(word, 1) OVER p AS w1, lead(word, 2) OVER p AS w2 FROM s WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, w1, w2) AS n FROM g WHERE w2 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM t LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+#: CRC-32 of a text's bytes, by its definition, since DuckDB has none: the remainders of bytes, one after another.
+_CRC_SQL = """
+CREATE_CRC AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS h FROM documents)
+"""
+
+_BASE_SQL = "WITH " + _CRC_SQL.replace("CREATE_CRC", "k") + r""",
+d AS (SELECT documents.doc_id, xor(k.h, 4294967295) % 5 = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents JOIN k ON k.doc_id = documents.doc_id),
+t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (word), n GROUP BY doc_id, held_out, n, v
+"""
+
+_RULES_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+p AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM r),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN p ON (h.host = p.h OR ends_with(h.host, '.' || p.h)) AND starts_with(h.path, p.p) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": _TOP_K_SQL, "quality_rule_counts": _COUNTS_SQL, "lm_base_scores": _BASE_SQL, "url_rule_verdicts": _RULES_SQL,
+}

@@ -262,7 +262,7 @@ def test_suffix_dedup_keeps_columns_and_tells_rows_of_one_id_apart(spark):
     assert got == {"a": text, "b": text + " more", "c": "before it: ", None: None}
 
 
-def test_lm_base_equals_counts_and_the_model_is_normalised(spark, docs, empty, sf_dir):
+def test_lm_base_equals_counts(spark, docs, empty, sf_dir):
     got = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), "\n"] for i, t in [*some_texts(), (None, "a text without an id, long enough to hold a string of fifty bytes or more")]}
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
@@ -273,10 +273,38 @@ def test_lm_base_equals_counts_and_the_model_is_normalised(spark, docs, empty, s
         assert math.isclose(got[i]["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert got[i]["score"] < 0
     assert lm.score_documents(empty).count() == 0
-    model = lm.Model.start(np.full(20, 0.05))
-    # after one token, the probabilities of all that may follow sum to one
-    after = [np.exp(lm.log_probabilities(model, np.array([3, k]), np.array([2]))[1]) for k in range(20)]
-    assert math.isclose(sum(after), 1, rel_tol=1e-5)
+
+
+def test_lm_is_normalised_and_learns_what_follows_what():
+    rng = np.random.default_rng(4)
+    n, kept = lm.SPAN * 2 + 30, lm.SPAN * 2 + 10  # three groups of words and twenty classes
+    share = rng.random(n) + 0.1
+    share /= share.sum()
+    model = lm.Model.start(share, kept)
+    far = model.of(rng.normal(0, 1, model.rows().shape))
+    for m in (model, far, far.of(far.rows() * 12)):
+        after = [np.exp(lm.log_probabilities(m, np.array([3, 7, k]), np.array([3]))[2]) for k in range(n)]
+        assert math.isclose(sum(after), 1, rel_tol=1e-4)
+    # untrained, with contexts of nothing, outcomes have their shares
+    plain = model.of(np.where(np.arange(model.rows().shape[1]) < lm.SIZE, 0, model.rows()))
+    assert np.allclose(np.exp(lm.log_probabilities(plain, np.arange(n), np.full(n, 1))), share, rtol=1e-4)
+    # a text is scored alike whether it is cut into slabs or not
+    ids, sizes = rng.integers(0, n, 500), np.array([100, 400])
+    whole = lm.log_probabilities(far, ids, sizes)
+    slab, lm.SLAB = lm.SLAB, 37
+    try:
+        assert np.allclose(lm.log_probabilities(far, ids, sizes), whole, rtol=1e-4, atol=1e-4)
+    finally:
+        lm.SLAB = slab
+    # 140 follows 5, and 6 follows 9, of one group each; others come as they do
+    text = np.concatenate([[5, 140] if k % 2 else [9, 6] for k in rng.integers(0, 2, 60_000)])
+    own = np.full(n, 1e-4)
+    own[[5, 6, 9, 140]] = 1
+    own /= own.sum()
+    trainer = lm.Trainer(lm.Model.start(own, kept), own)
+    trainer.learn(text, np.array([len(text)]))
+    told = lm.log_probabilities(trainer.model, text[:2000], np.array([2000]))
+    assert told[1::2].mean() > -0.35 and told[2::2].mean() > -1.3
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark, sf_dir):
@@ -306,6 +334,12 @@ def test_trees_learn_from_the_suffix(spark):
     assert len(got) == 2 * len(found) and all((r["block_probability"] > 0.5) == r["host"].endswith("bad") == (r["verdict"] == "block") for r in got)
 
 
+@pytest.mark.parametrize("name", ["quality_rule_counts", "lm_base_scores", "url_rule_verdicts"])
+def test_columns_that_sql_gives_too(spark, sf_dir, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert (sorted(df.columns), rows(df.columns, df.collect())) == expected(queries.ORACLE_SQL[name], sf_dir)
+
+
 def test_boosted_trees_learn_a_rule_of_two_features():
     rng = np.random.default_rng(1)
     x = rng.random((600, 3))

@@ -288,7 +288,7 @@ def with_stretches(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "at")
 
 
-def spans(docs: DataFrame, sampled: int = 2000, task_bytes: int = 48_000_000) -> DataFrame:
+def spans(docs: DataFrame, sampled: int = 2000, task_bytes: int = 24_000_000) -> DataFrame:
     """doc, mark, lo, to: stretches of bytes to remove; they may overlap.
 
     sampled: documents that the ranges' borders are taken from. task_bytes: of rows that a task sorts, about.

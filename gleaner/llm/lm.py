@@ -37,12 +37,12 @@ from gleaner.llm.common import remainder, text_chunks, with_package, words_of, w
 #: The end token: no word holds white space.
 END = "\n"
 #: Words with vectors of their own, END among them, at most; how often they occur at least; words of a group.
-WORDS, LEAST, SPAN = 16_384, 8, 128
+WORDS, LEAST, SPAN = 8192, 8, 128
 #: Classes of the other words; words whose counts every task has.
 CLASSES, HEAD = 32, 65_536
 SIZE, WINDOW = 16, 16
 #: Tokens of a step of training, noise groups of a step, noise words of a token.
-STEP, NOISE, OTHERS = 8192, 64, 2
+STEP, NOISE, OTHERS = 4096, 64, 2
 #: Tokens that are scored together, and whose groups are scored in one product.
 SLAB, ROOM = 65_536, 512
 
@@ -163,7 +163,7 @@ class Trainer:
 
     NAMES = ("last", "past", "group", "group_bias", "word", "word_bias")
 
-    def __init__(self, model: Model, share: np.ndarray, rate: float = 0.15, seed: int = 11):
+    def __init__(self, model: Model, share: np.ndarray, rate: float = 0.3, seed: int = 11):
         self.model = Model(*(getattr(model, n).copy() for n in self.NAMES))
         self.past = Model(*(np.full_like(getattr(model, n), 1e-3 if n.startswith("word") else 1e-2) for n in self.NAMES))
         kept = model.kept

@@ -284,7 +284,7 @@ def test_lm_is_normalised_and_learns_what_follows_what():
     far = model.of(rng.normal(0, 1, model.rows().shape))
     for m in (model, far, far.of(far.rows() * 12)):
         after = [np.exp(lm.log_probabilities(m, np.array([3, 7, k]), np.array([3]))[2]) for k in range(n)]
-        assert math.isclose(sum(after), 1, rel_tol=1e-4)
+        assert math.isclose(sum(after), 1, rel_tol=1e-3)
     # untrained, with contexts of nothing, outcomes have their shares
     plain = model.of(np.where(np.arange(model.rows().shape[1]) < lm.SIZE, 0, model.rows()))
     assert np.allclose(np.exp(lm.log_probabilities(plain, np.arange(n), np.full(n, 1))), share, rtol=1e-4)

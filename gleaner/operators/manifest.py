@@ -56,7 +56,7 @@ def mark(manifest: DataFrame, events: DataFrame, name: str) -> DataFrame:
         told = F.col(f"e.{column}") if column in rule.sets else F.col("e.at") if column in rule.stamps else F.lit(None) if column in rule.clears else old
         return F.when(new, told).otherwise(old)
 
-    return joined.select(F.coalesce("m.path", "e.path").alias("path"), *(value(c).cast(manifest.schema[c].dataType).alias(c) for c in manifest.columns if c != "path"))
+    return joined.select(F.coalesce("m.path", "e.path").alias("path"), *(value(c).cast(manifest.schema[c].dataType.simpleString()).alias(c) for c in manifest.columns if c != "path"))
 
 
 def unknown(manifest: DataFrame, events: DataFrame) -> DataFrame:

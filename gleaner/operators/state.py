@@ -53,7 +53,8 @@ def without_assets(files: DataFrame, images: tuple[str, ...], documents: tuple[s
 def exchanges(log: DataFrame) -> DataFrame:
     """Each request with its response (request_id, kind `request` or `response`, at, body); null where there is none yet."""
     side = lambda kind: log.where(F.col("kind") == kind).groupBy("request_id").agg(F.min_by(F.struct("at", "body"), "at").alias(kind))
-    took = F.col("response.at").cast("double") - F.col("request.at").cast("double")
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    took = seconds("response.at") - seconds("request.at")
     return side("request").join(side("response"), "request_id", "left").select("request_id", F.col("request.body").alias("request"), F.col("response.body").alias("response"), took.alias("seconds"))
 
 

@@ -32,7 +32,7 @@ def peeks(spark, sf_dir) -> DataFrame:
 _PEEKS = f"""
 p AS (SELECT doc_id AS k, n_chars AS n, text, ['{"','".join(_EXTS)}'][doc_id % {len(_EXTS)} + 1] AS ext, doc_id % 97 = 0 AS dot, n_chars * 211 AS size, doc_id % 53 AS pages, n_chars % 700 AS density, doc_id % 5 <> 0 AS ok,
  (doc_id % 10) / 10.0::DOUBLE AS ratio, n_chars * 37 AS n_rows, doc_id * 7 % 1500 AS w, n_chars % 1500 AS h, doc_id % 31 = 0 AS bad, doc_id % 4 <> 0 AS gpu, CASE WHEN doc_id % 6 = 0 THEN 8.0 ELSE 0.0 END AS used FROM documents),
-q AS (SELECT p.*, CASE WHEN k % 2 = 0 THEN 5 ELSE s.score END AS sens,
+q AS (SELECT p.*, CASE WHEN k % 2 = 0 THEN 7 ELSE s.score END AS sens,
  CASE ext WHEN '.txt' THEN 'text' WHEN '.py' THEN 'code' WHEN '.json' THEN 'config' ELSE substr(ext, 2) END AS kind0, greatest(pages, 1) * 0.2::DOUBLE AS mb0, greatest(pages, 1) * CASE WHEN gpu THEN 1.0 ELSE 10.0 END AS s0,
  least(10, CASE ext WHEN '.pdf' THEN CASE WHEN density < 50 THEN 5 WHEN density < 500 THEN 2 ELSE 0 END + CASE WHEN ok THEN 0 ELSE 3 END WHEN '.docx' THEN CASE WHEN ratio > 0.3 THEN 2 ELSE 0 END
   WHEN '.png' THEN CASE WHEN w >= 600 AND h >= 600 THEN 4 ELSE 0 END + CASE WHEN h <> 0 AND (w / h < 0.65 OR w / h > 1.6) THEN 1 ELSE 0 END ELSE 0 END) AS vs FROM p JOIN ({ORACLE_SQL["sensitivity_score"].replace("FROM documents", "FROM (SELECT doc_id, text[1:5000] AS text FROM documents)")}) s ON s.doc_id = p.k),
@@ -53,8 +53,8 @@ d AS (SELECT *, CASE WHEN skip IS NOT NULL THEN '' ELSE CASE kind WHEN 'text' TH
  CASE WHEN skip IS NULL THEN lv ELSE 'normal' END AS level, CASE WHEN skip IS NULL THEN og ELSE 'default' END AS origin, CASE WHEN skip IS NULL AND kind IN ('pdf', 'docx', 'pptx', 'png') THEN mb0 ELSE 0.0::DOUBLE END AS cost_mb FROM d""")
 def route_decision(spark, sf_dir):
     """The tiers of each file, why it is skipped, its scores, criticality and cost."""
-    found = router.decided(peeks(spark, sf_dir))
-    return found.select("doc_id", F.array_join("routes", ",").alias("routes"), router.primary(F.col("routes")).alias("primary_tier"), "skip_reason", F.col("visual_score").cast("int").alias("visual_score"), F.col("sensitivity").cast("int").alias("sensitivity"), "level", "origin", "cost_mb")
+    found = router.decided(peeks(spark, sf_dir)).withColumn("primary_tier", router.primary(F.col("routes")))
+    return found.select("doc_id", F.array_join("routes", ",").alias("routes"), "primary_tier", "skip_reason", F.col("visual_score").cast("int").alias("visual_score"), F.col("sensitivity").cast("int").alias("sensitivity"), "level", "origin", "cost_mb")
 
 
 @query("WITH " + _PEEKS + """, e AS (SELECT unnest(CASE WHEN routes = '' THEN ['skip'] WHEN contains(routes, ',') THEN list_append(string_split(routes, ','), 'several') ELSE [routes] END) AS tier FROM d) SELECT tier, count(*) AS files FROM e GROUP BY tier""")
@@ -287,10 +287,10 @@ def retrieval_recall(spark, sf_dir):
     return evaluation.recall_at(items.select("item_id").join(held, "item_id", "left"), 1, 5, 20)
 
 
-@query(_BM25 + """, a AS (SELECT b.item_id, ['easy', 'medium', 'hard'][b.item_id % 3 + 1] AS difficulty, b.item_id % 7 <> 0 AS ok, coalesce(list(r.doc_id) FILTER (rank <= 2), []) AS used0, coalesce(list(r.doc_id) FILTER (rank <= 1 OR rank = 3), []) AS expected, coalesce(list(r.doc_id) FILTER (rank = 2), []) AS bad FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND rank <= 3 GROUP BY b.item_id),
-s AS (SELECT difficulty, ok, CASE WHEN ok THEN used0 ELSE [] END AS used, expected, bad FROM a)
+@query(_BM25 + """, ans AS (SELECT b.item_id, ['easy', 'medium', 'hard'][b.item_id % 3 + 1] AS difficulty, b.item_id % 7 <> 0 AS ok, coalesce(list(r.doc_id) FILTER (rank <= 2), []) AS used0, coalesce(list(r.doc_id) FILTER (rank <= 1 OR rank = 3), []) AS expected, coalesce(list(r.doc_id) FILTER (rank = 2), []) AS bad FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND rank <= 3 GROUP BY b.item_id),
+scored AS (SELECT difficulty, ok, CASE WHEN ok THEN used0 ELSE [] END AS used, expected, bad FROM ans)
 SELECT difficulty, count(*) AS n, count(*) FILTER (ok) AS succeeded, count(*) FILTER (ok AND len(list_intersect(expected, used)) = len(expected)) AS perfect, count(*) FILTER (ok AND len(list_intersect(used, bad)) = 0) AS undistracted, CAST(sum(len(list_intersect(used, bad))) AS BIGINT) AS distractors_cited,
- round(sum(len(list_intersect(expected, used))) / sum(len(expected))::DOUBLE, 6) AS recall, round(sum(len(list_intersect(expected, used))) / nullif(sum(len(used)), 0)::DOUBLE, 6) AS precision FROM s GROUP BY ROLLUP (difficulty)""")
+ round(sum(len(list_intersect(expected, used))) / sum(len(expected))::DOUBLE, 6) AS recall, round(sum(len(list_intersect(expected, used))) / nullif(sum(len(used)), 0)::DOUBLE, 6) AS precision FROM scored GROUP BY ROLLUP (difficulty)""")
 def eval_difficulty(spark, sf_dir):
     """Scores of answers by difficulty: the first two hits are cited, the first and third expected, the second a distractor."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.joins import joined
+from gleaner.staging import written
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old rows that the new ones do not replace, and the new ones."""
@@ -26,11 +29,12 @@ def orphans(stored: DataFrame, expected: DataFrame, key: str) -> DataFrame:
 def first_copies(docs: DataFrame, key: str, content: str) -> DataFrame:
     """key, first (the least key with the same content) and whether the row is a copy.
 
-    The least key is aggregated and joined back, so that a content with very many copies is split like any other.
+    Hashes, not contents, are written, aggregated and joined back; a content with very many copies fills no task.
     """
-    marked = docs.select(key, F.sha2(content, 256).alias("hash"))
-    firsts = marked.groupBy("hash").agg(F.min(key).alias("first"))
-    return marked.join(firsts, "hash").select(key, "first", (F.col(key) != F.col("first")).alias("is_copy"))
+    marked = written(docs.select(key, F.sha2(content, 256).alias("hash")), "hashes")
+    firsts = marked.groupBy("hash").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    none = marked.where("hash is null").select(key, F.lit(None).cast(marked.schema[key].dataType).alias("first"), F.lit(None).cast("boolean").alias("is_copy"))
+    return joined(marked, firsts.where("hash is not null"), ["hash"], marked.count()).select(key, "first", (F.col(key) != F.col("first")).alias("is_copy")).where("first is not null").union(none)
 
 
 def latest(rows: DataFrame, key: list[str], order: str, n: int) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from gleaner.staging import discard, discarded, scratch, shared_dir, written  # noqa: F401  shared by the operators
+from gleaner.operators.joins import joined  # noqa: F401  shared by the operators
+from gleaner.staging import discard, discarded, scratch, shared_dir, written  # noqa: F401
 from gleaner.workers import with_package  # noqa: F401
 
 #: ASCII white space: the word separator of every contract here, and what ``bytes.split()`` splits on.
@@ -22,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Keys that are sent to every task, at most: those of more rows than a KEYS-th of all have.
-KEYS = 500
-
-
-def joined(rows: DataFrame, told: DataFrame, on: list[str], total: int) -> DataFrame:
-    """Inner join with a table of one row for each key, whose ``n`` tells how many of the ``total`` rows have it.
-
-    Keys of over max(KEYS, total / KEYS) rows are at most KEYS: they are sent to every task, so that no task gets all
-    rows of one; the others are joined by shuffle, as no key of theirs fills a task.
-    """
-    limit = max(KEYS, total // KEYS)
-    hot, rest = F.broadcast(told.where(F.col("n") > limit).drop("n")), told.where(F.col("n") <= limit).drop("n")
-    few = rows.join(F.broadcast(told.where(F.col("n") > limit).select(*on)), on, "left_anti")
-    return rows.join(hot, on).unionByName(few.join(rest, on))
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
     """doc_id, label and text of a bounded sample of distinct labelled rows, whole texts.
 

@@ -213,9 +213,10 @@ def verified(members: DataFrame, similarity: float, size: int, chunk: int = CHUN
     members: root (of the group), node and text. All pairs of a group are held against each other, in chunks of a
     bounded number and volume of texts; each pair of chunks is a task's row.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.octet_length("text")) / volume, F.lit(1))).cast("int").alias("cuts"))
-    cut = members.join(sizes, "root").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    chunks = written(cut.groupBy("root", "cuts", "cut").agg(F.collect_list(F.struct("node", "text")).alias("rows")), "chunks")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.octet_length("text")) / volume, F.lit(1))).cast("int").alias("cuts"), F.count("*").alias("n"))
+    cut = joined(members, sizes, ["root"], members.count()).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    # dealt by chunk, or else Spark would deal chunks as the join did, a whole group to one task
+    chunks = written(cut.repartition("root", "cut").groupBy("root", "cuts", "cut").agg(F.collect_list(F.struct("node", "text")).alias("rows")), "chunks")
     many, last = chunks.where("cuts > 1"), F.col("cuts") - 1
     low = many.where(F.col("cut") < last).select("root", F.col("cut").alias("low"), F.explode(F.sequence(F.col("cut") + 1, last)).alias("high"), "rows")
     high = many.where("cut > 0").select("root", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("low"), F.col("cut").alias("high"), F.col("rows").alias("other_rows"))

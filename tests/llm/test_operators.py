@@ -134,6 +134,32 @@ def test_classifier_holds_out_well(spark, sf_dir):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
 
 
+def test_classifier_fits_the_hinge_loss_to_its_optimum():
+    rng = np.random.default_rng(9)
+    rows_ = [np.unique(rng.choice(40, rng.integers(3, 9))).astype(np.int32) for _ in range(60)]
+    labels = np.array([int((r < 20).sum() > (r >= 20).sum()) if rng.random() < 0.9 else rng.integers(0, 2) for r in rows_])
+    model = quality.fit(rows_, labels, epochs=3000)
+    # the same problem as a quadratic program over all pairs of rows, by projected gradients
+    size = 1 << quality.BITS
+    count = np.ones((2, size))
+    for r, y in zip(rows_, labels):
+        count[y, r] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    x = np.zeros((60, 40))
+    for k, r in enumerate(rows_):
+        x[k, r] = ratio[r] / np.sqrt(max(1.0, (ratio[r] ** 2).sum()))
+    sign = np.where(labels == 1, 1.0, -1.0)
+    most = np.where(labels == 1, 1.0, labels.sum() / (1 - labels).sum())
+    gram = x @ x.T + 1
+    q, alpha = np.outer(sign, sign) * gram, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, most)
+    want = gram @ (alpha * sign)
+    got = np.array([model.weights[r].sum() / np.sqrt(max(1.0, model.squares[r].sum())) + model.bias for r in rows_])
+    assert np.allclose(got, want, atol=0.02)
+
+
 def test_classifier_scores_nulls_and_learns_from_one_class(spark, docs, empty):
     one = spark.createDataFrame([(0, 1, None), (1, 1, 0), (2, None, 0)], "doc_id bigint, quality int, toxic int")
     model = quality.train(docs, one)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -26,16 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
     """doc_id, label and text of a bounded sample of distinct labelled rows, whole texts.
 
-    Rows are taken in the order of hashes of their ids, ``max_rows`` at most and as long as their texts hold
-    ``max_bytes`` together. Labels other than 0 and 1 count for nothing; of several for one id the greatest counts.
+    Rows are taken in the order of hashes of their ids, ``max_rows`` at most; a text that would take the sample over
+    ``max_bytes``, or is over a twentieth of it by itself, is left out, and those after it are asked on. Labels other
+    than 0 and 1 count for nothing; of several for one id the greatest counts.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # max_rows bounds both sides that are sent to every task
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("_h", F.xxhash64("text"))
     sizes = rows.groupBy("doc_id", "_h").agg(F.max(F.octet_length("text")).alias("_size")).orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(max_rows)
-    so_far = F.sum("_size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "_h"))
-    taken = sizes.withColumn("_sum", so_far).where(F.col("_sum") <= max_bytes).select("doc_id", "_h")
+    room, taken = max_bytes, []
+    for r in sizes.collect():  # max_rows ids and sizes
+        if r["_size"] <= min(room, max_bytes // 20):
+            taken.append((r["doc_id"], r["_h"]))
+            room -= r["_size"]
+    taken = docs.sparkSession.createDataFrame(taken, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _h bigint")
     return rows.join(F.broadcast(taken), ["doc_id", "_h"]).groupBy("doc_id", "_h").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("doc_id", "label", "text")
 
 

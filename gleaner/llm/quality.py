@@ -29,7 +29,8 @@ from gleaner.llm.common import extended, labelled, text_chunks, unused, with_pac
 #: Hashed features.
 BITS = 18
 #: Labelled rows that the model is fitted to, at most, and bytes of their texts: rows of the smallest hashes.
-MAX_ROWS, MAX_BYTES = 6000, 100_000_000
+#: A text has some twenty bytes of feature numbers for each of its own at most, and a megabyte at most, which bounds what the driver gets.
+MAX_ROWS, MAX_BYTES = 6000, 20_000_000
 
 _SHAPE = np.frombuffer(bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256)), np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, lm, packing, quality, rules, simhash, suffixes, tokencount, topk, urls
+from gleaner.llm import audit, bpe, codes, lm, packing, quality, rules, simhash, suffixes, tokencount, topk, toxicity, urls
 from gleaner.llm.common import remainder, table
 
 URL_RULES = (
@@ -67,6 +67,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    score = F.col("score")
+    return toxicity.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score, (score >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_offending")
+
+
 def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``op6_quality_rules`` that SQL can give too."""
     return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -88,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_token_counts, op3_byte_level_bpe, op4_quality_classifier, op5_exact_top_k,
         op6_quality_rules, op7_suffix_array_dedup, op8_lm_scoring, op9_url_filters, op10_simhash_near_dedup,
+        op11_vector_codes, op12_filter_audit, op13_toxicity,
         quality_rule_counts, lm_base_scores, url_rule_verdicts,
     )
 }
@@ -143,6 +159,48 @@ m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, leng
 SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)
 """
 
+
+
+def _codes_sql(entries: int = 256, rounds: int = 4) -> str:
+    """All distances of all parts and entries, round after round."""
+    steps, part = [], "v[16 * p + 1 : 16 * p + 16]"
+    steps.append("""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""")
+    steps.append(f"x AS MATERIALIZED (SELECT vec_id, p, {part} AS w FROM v, range(4) AS r(p))")
+    steps.append(f"k0 AS MATERIALIZED (SELECT p, i, {part} AS w FROM (SELECT v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM v QUALIFY i < {entries}), range(4) AS r(p))")
+    for n in range(rounds + 1):
+        far = "CAST(list_sum(list_transform(list_zip(x.w, k.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        steps.append(f"a{n} AS MATERIALIZED (SELECT vec_id, p, min(struct_pack(d := d, i := i)) AS a FROM (SELECT x.vec_id, x.p, k.i, {far} AS d FROM x JOIN k{n} k USING (p)) GROUP BY vec_id, p)")
+        if n < rounds:
+            means = f"SELECT p, a.i AS i, list(m ORDER BY j) AS w FROM (SELECT x.p, a, j, CAST(floor(sum(w[j]) / count(*)) AS BIGINT) AS m FROM (SELECT x.p, struct_pack(i := a.i) AS a, w, unnest(range(1, 17)) AS j FROM x JOIN a{n} USING (vec_id, p)) x GROUP BY x.p, a, j) GROUP BY p, a.i"
+            steps.append(f"k{n + 1} AS MATERIALIZED (SELECT p, i, coalesce(m.w, k.w) AS w FROM k{n} k LEFT JOIN ({means}) m USING (p, i))")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, i)) AS sha FROM k{rounds})")
+    steps.append(f"c AS (SELECT vec_id, string_agg(lower(printf('%02x', a.i)), '' ORDER BY p) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    body = ",\n".join(steps)
+    return f"WITH {body}\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM c JOIN v USING (vec_id), h"
+
+
+_AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, concat(
+  CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END, CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails FROM t),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY part, fails),
+l(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT o, k, substr(o, 1, k - 1) AS done, substr(o, k, 1) AS here FROM o, range(1, 6) AS r(k)),
+r AS (SELECT part, o, k, here,
+  sum(n) FILTER (translate(fails, done || here, '') = fails) AS kept, sum(n) FILTER (translate(fails, done, '') = fails AND contains(fails, here)) AS removed,
+  sum(n) FILTER (translate(fails, done, '') <> fails AND contains(fails, here)) AS redundant, sum(n) FILTER (fails = here) AS unique_fails,
+  sum(good) FILTER (translate(fails, done, '') = fails AND contains(fails, here)) AS good_lost, sum(toxic) FILTER (translate(fails, done, '') = fails AND contains(fails, here)) AS toxic_lost
+  FROM m, s GROUP BY part, o, k, here)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, here), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(), "op12_filter_audit": _AUDIT_SQL,
     "op5_exact_top_k": _TOP_K_SQL, "quality_rule_counts": _COUNTS_SQL, "lm_base_scores": _BASE_SQL, "url_rule_verdicts": _RULES_SQL,
 }

@@ -1,8 +1,9 @@
 """URL filters: rules by host suffix and path prefix, and gradient-boosted trees for what no rule decides.
 
 The trees see lexical features of the url, and statistics of its host's suffix (the last label) over all pages: how
-many urls have it, and which share of those that a rule decides is blocked, smoothed and, in training, without the url
-itself. They are trained from the urls that a rule decides.
+many urls with it a rule decides, and which share of these is blocked, smoothed. They are trained from the urls that
+a rule decides; there the share is that of the other folds only (urls fall into folds by their hashes, repeated ones into
+one), so that it says nothing of the url itself and the trees learn to trust it as they will find it.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; it is scored as an empty
 text; without decided urls of both kinds every other url is allowed or blocked as the decided ones are (allowed
@@ -26,6 +27,8 @@ from gleaner.llm.common import joined, with_package, written
 ALLOW, BLOCK = "allow", "block"
 #: Decided urls that the trees are trained from, at most.
 MAX_ROWS = 20_000
+#: Folds of urls, for shares that leave the url's own out.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -64,7 +67,7 @@ def by_rule(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFr
 
 FEATURES = (
     "length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digits", "hyphens in host", "entropy", "host entropy",
-    "parameters", "query length", "has fragment", "last label length", "longest label", "vowel ratio of host", "https", "urls with the suffix", "blocked share of the suffix",
+    "parameters", "query length", "has fragment", "last label length", "longest label", "vowel ratio of host", "https", "first digit of the path", "decided urls with the suffix", "blocked share of the suffix",
 )
 
 
@@ -75,8 +78,8 @@ def _entropy(text: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def lexical(url: str | None, times: int = 0, blocked: int = 0, decided: int = 0) -> list[float]:
-    """The numbers of FEATURES; times, blocked, decided: urls with the suffix, and those of them blocked and decided by rules."""
+def lexical(url: str | None, blocked: int = 0, decided: int = 0) -> list[float]:
+    """The numbers of FEATURES; blocked, decided: urls with the suffix that rules block and decide."""
     url = url or ""
     scheme, _, rest = url.partition("://")
     rest, _, fragment = rest.partition("#")
@@ -85,7 +88,7 @@ def lexical(url: str | None, times: int = 0, blocked: int = 0, decided: int = 0)
     labels, digits = host.split("."), sum(c.isdigit() for c in url)
     return [
         len(url), len(host), len(slash + path), len(labels), path.count("/") + bool(slash), digits / max(1, len(url)), sum(c.isdigit() for c in host), host.count("-"), _entropy(url), _entropy(host),
-        query.count("=") , len(query), bool(fragment), len(labels[-1]), max(map(len, labels)), sum(c in "aeiou" for c in host.lower()) / max(1, len(host)), scheme.lower() == "https", np.log1p(times), (blocked + 1) / (decided + 2),
+        query.count("=") , len(query), bool(fragment), len(labels[-1]), max(map(len, labels)), sum(c in "aeiou" for c in host.lower()) / max(1, len(host)), scheme.lower() == "https", next((int(c) for c in path if c in "0123456789"), -1), np.log1p(decided), (blocked + 1) / (decided + 2),
     ]
 
 
@@ -143,29 +146,35 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
     return Trees(base, *map(np.array, made))
 
 
-def with_suffixes(decided: DataFrame) -> DataFrame:
-    """Adds suffix and its numbers of urls, of those a rule blocks and of those a rule decides, over all rows (with host and decided)."""
-    rows = decided.withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    known, bad = F.count("decided"), F.count_if(F.col("decided") == BLOCK)
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("*").alias("suffix_urls"), bad.alias("suffix_blocked"), known.alias("suffix_decided"))
-    return joined(rows, stats, ["suffix"], rows.count())
+def with_suffixes(decided: DataFrame, url: str = "url") -> DataFrame:
+    """Adds STATS of the suffix over all rows (with host and decided), and of the rows of the other folds alone."""
+    rows = decided.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("fold", F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int"))
+    rows = written(rows, "suffixes")
+    bad, known = F.col("decided") == BLOCK, F.col("decided").isNotNull()
+    each = lambda test: F.array(*(F.count_if(test & (F.col("fold") == k)) for k in range(FOLDS)))
+    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), each(bad).alias("_bad"), each(known).alias("_known"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    found = joined(rows, written(stats, "suffix_counts"), ["suffix"], rows.count())
+    found = found.withColumns({"suffix_blocked": total("_bad"), "suffix_decided": total("_known")})
+    others = {f"other_{c[7:]}": F.col(c) - F.get(F.col(a), F.col("fold")) for c, a in (("suffix_blocked", "_bad"), ("suffix_decided", "_known"))}
+    return found.withColumns(others).drop("_bad", "_known")
 
 
-STATS = ["suffix_urls", "suffix_blocked", "suffix_decided"]
+STATS, OTHERS = ["suffix_blocked", "suffix_decided"], ["other_blocked", "other_decided"]
 
 
 def train(decided: DataFrame, url: str = "url", max_rows: int = MAX_ROWS) -> Trees:
     """Trains from at most ``max_rows`` decided urls; which ones hangs on hashes of the urls only."""
-    rows = decided.where(F.col("decided").isNotNull() & F.col(url).isNotNull()).select(url, (F.col("decided") == BLOCK).cast("int").alias("y"), *STATS).distinct()
+    rows = decided.where(F.col("decided").isNotNull() & F.col(url).isNotNull()).select(url, (F.col("decided") == BLOCK).cast("int").alias("y"), *OTHERS).distinct()
     got = rows.orderBy(F.xxhash64(url), url, "y").limit(max_rows).collect()
-    x = [lexical(r[url], r["suffix_urls"], r["suffix_blocked"] - r["y"], r["suffix_decided"] - 1) for r in got]
+    x = [lexical(r[url], *(r[c] for c in OTHERS)) for r in got]
     return boost(np.array(x, float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", max_rows: int = MAX_ROWS) -> DataFrame:
     """key, host, path, rule, verdict and the trees' probability that the url is to be blocked."""
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
-    decided = written(with_suffixes(by_rule(rows, rules, "_url")), "decided")
+    decided = written(with_suffixes(by_rule(rows, rules, "_url"), "_url"), "decided")
     sent = pages.sparkSession.sparkContext.broadcast(train(decided, "_url", max_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

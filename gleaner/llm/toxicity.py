@@ -28,7 +28,7 @@ from gleaner.llm.common import labelled, text_chunks, with_package
 #: Hashed features.
 BITS = 20
 #: Labelled rows that the model is fitted to, at most, and bytes of their texts, which go to the driver.
-MAX_ROWS, MAX_BYTES = 8000, 30_000_000
+MAX_ROWS, MAX_BYTES = 8000, 20_000_000
 #: Words whose weight a worker remembers.
 KEPT = 500_000
 #: From which probability a sentence offends.
@@ -113,7 +113,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 150, rate: float =
     hashed = [features(w) for w in number]
     each, flat = np.array([len(f) for f in hashed]), np.array([x for f in hashed for x in f])
     used, flat = np.unique(flat, return_inverse=True)
-    owner, sentence = np.repeat(np.arange(len(hashed)), each), np.repeat(np.arange(len(lengths)), lengths)
+    owner, sentence = np.repeat(np.arange(len(hashed)), each), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     toxic = labels == 1
     balance = np.where(toxic, len(labels) / 2 / toxic.sum(), len(labels) / 2 / (~toxic).sum())
     balance = np.minimum(balance, 10.0)

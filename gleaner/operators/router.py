@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import routing
 from gleaner.functions import text as T
-from gleaner.operators import windows
+from gleaner.operators import budget
+from gleaner.staging import written
 
 KB, MB = 1024, 1024 * 1024
 
@@ -152,12 +153,12 @@ def within_budget(peeks: DataFrame, key: str, cap_mb: float = Limits.corpus_mb)
 
     A file that does not fit takes nothing and falls back, as it would with the budget used up; later, smaller ones may fit.
     """
-    first = decided(peeks.withColumn("used_mb", F.lit(0.0)))
-    wants = first.where(F.array_contains("routes", "T4")).select(F.lit(0).alias("g"), F.col(key).cast("bigint").alias(key), "cost_mb")
-    let_in = windows.admitted(wants, "g", key, "cost_mb", cap_mb).select(key, F.lit(True).alias("_in"))
-    out = F.col("_wants") & F.col("_in").isNull()
-    told = peeks.join(first.select(F.col(key), F.array_contains("routes", "T4").alias("_wants")), key).join(let_in, key, "left")
-    return decided(told.withColumn("used_mb", F.when(out, float("inf")).otherwise(0.0))).drop("_wants", "_in")
+    first = decided(peeks.withColumn("used_mb", F.lit(0.0))).select(key, F.array_contains("routes", "T4").alias("_wants"), "cost_mb")
+    first = written(first, "wishes")  # the decision reads texts, once
+    wants = first.where("_wants").select(F.lit(0).alias("g"), F.col(key).cast("bigint").alias(key), "cost_mb")
+    let_in = budget.admitted(wants, "g", key, "cost_mb", cap_mb).select(key, F.lit(True).alias("_in"))
+    told = peeks.join(first.drop("cost_mb"), key).join(let_in, key, "left").withColumn("_out", F.col("_wants") & F.col("_in").isNull())
+    return decided(told.withColumn("used_mb", F.when(F.col("_out"), float("inf")).otherwise(0.0))).drop("_wants", "_in", "_out")
 
 
 def tally(routed: DataFrame) -> DataFrame:

@@ -66,35 +66,3 @@ def numbered(rows: DataFrame, group: str, at: str, name: str, cuts: int = 200) -
     told = placed.withColumn(name, F.row_number().over(Window.partitionBy(group, "_cut").orderBy(at)))
     told = told.join(counts, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_cut") == F.col("_part")))
     return told.withColumn(name, F.col(name) + F.col("_before")).drop("_cut", "_of", "_part", "_before")
-
-
-def admitted(items: DataFrame, group: str, key: str, cost: str, cap: float, block: int = 1000) -> DataFrame:
-    """group, key and cost of what an ordered fold lets in: an item that does not fit takes nothing.
-
-    Each round folds the next ``block`` items of a group that fit what is left of its budget; others never fit
-    later, as the room only shrinks (in a group with negative costs all are folded). So no task holds a group, and
-    rounds end as soon as nothing left fits. Items without cost take nothing and need no fold.
-    """
-    x = items.select(F.col(group).alias("g"), F.struct(F.col(key).cast("bigint").alias("k"), F.col(cost).cast("double").alias("c")).alias("x")).where("x.c is not null")
-    free = (F.col("x.c") == 0) & F.lit(cap >= 0)
-    found, paid = x.where(free), x.where(~free)
-    falls = paid.groupBy("g").agg((F.min("x.c") < 0).alias("falls"))
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<k:bigint,c:double>>").alias("kept"))
-
-    def step(state, x):
-        fits = state["used"] + x["c"] <= cap
-        return F.when(fits, F.struct((state["used"] + x["c"]).alias("used"), F.concat(state["kept"], F.array(x)).alias("kept"))).otherwise(state)
-
-    state = falls.select(F.col("g").alias("h"), "falls", F.lit(0.0).alias("used"), F.lit(None).cast("struct<k:bigint,c:double>").alias("last")).persist()
-    while True:
-        left = paid.join(state, F.col("g").eqNullSafe(F.col("h"))).where((F.col("last").isNull() | (F.col("x") > F.col("last"))) & (F.col("falls") | (F.col("used") + F.col("x.c") <= cap)))
-        # equal items have one rank, so that none is split between rounds; Spark limits ranks up to 1000 before it shuffles
-        turn = left.withColumn("n", F.rank().over(Window.partitionBy("g").orderBy("x"))).where(F.col("n") <= block)
-        folds = turn.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.first("used").alias("used"), F.first("falls").alias("falls"))
-        start = F.struct(F.col("used").alias("used"), zero["kept"].alias("kept"))
-        done = folds.select(F.col("g").alias("h"), "falls", F.aggregate("xs", start, step).alias("s"), F.element_at("xs", -1).alias("last")).persist()
-        if done.isEmpty():
-            break
-        found = found.union(done.select(F.col("h").alias("g"), F.explode("s.kept").alias("x")))
-        state = done.select("h", "falls", F.col("s.used").alias("used"), "last")  # groups with nothing left are out
-    return found.select(F.col("g").alias(group), F.col("x.k").alias(key), F.col("x.c").alias(cost))

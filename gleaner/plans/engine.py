@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,20 @@ def route_tally(spark, sf_dir):
     return router.tally(router.decided(peeks(spark, sf_dir)))
 
 
+# each file decided with nothing used, those that are to be seen let in one after another, and the others decided with nothing left
+_FIRST = _PEEKS.replace("CASE WHEN doc_id % 6 = 0 THEN 8.0 ELSE 0.0 END AS used", "0.0 AS used")
+_AGAIN = re.sub(r"\bsee\b", "(see AND NOT gone)", _FIRST[_FIRST.rindex("d AS (SELECT") :].replace("d AS (SELECT", "e AS (SELECT")).replace("FROM t)", "FROM t JOIN o USING (k))")
+
+
+@query("WITH RECURSIVE " + _FIRST + f""", w AS (SELECT k, greatest(pages, 1) AS units, row_number() OVER (ORDER BY k) AS n FROM d WHERE contains(routes, 'T4')),
+f AS (SELECT n, k, CASE WHEN units <= 1000 THEN units ELSE 0 END AS used, units > 1000 AS gone FROM w WHERE n = 1 UNION ALL SELECT w.n, w.k, CASE WHEN used + units <= 1000 THEN used + units ELSE used END, used + units > 1000 FROM f JOIN w ON w.n = f.n + 1),
+o AS (SELECT p.k, coalesce(f.gone, false) AS gone FROM p LEFT JOIN f USING (k)), {_AGAIN} SELECT k AS doc_id, routes, skip AS skip_reason FROM e""")
+def visual_budget(spark, sf_dir):
+    """The tiers of the files of a corpus that shares 200 MB of the visual tier, in the order of their ids."""
+    found = router.within_budget(peeks(spark, sf_dir).drop("used_mb"), "doc_id", 200.0)
+    return found.select("doc_id", F.array_join("routes", ",").alias("routes"), "skip_reason")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'skip' WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 53 < 1 THEN 'skip' WHEN doc_id % 53 - 1 > 50 OR n_chars >= 100 THEN 'summary' ELSE 'fast' END WHEN doc_id % 3 = 1 THEN 'fast' ELSE 'summary' END AS tier, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS pool FROM documents""")
 def two_tiers(spark, sf_dir):
     """The older routing into two tiers, and how far patches are pooled."""

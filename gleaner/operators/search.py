@@ -14,8 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from gleaner.functions import text as T
+from gleaner.operators.joins import KEYS
 from gleaner.staging import written
 from gleaner.workers import with_package
 
@@ -222,22 +224,159 @@ def quantised(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(first, ["query_id"], [F.desc("score"), F.col("vec_id")], k).select("query_id", "vec_id", "score", "rank")
 
 
+class Kept:
+    """Each question's k best scores so far, of which only what reaches them is told on."""
+
+    def __init__(self, questions: int, k: int):
+        self.best = np.full((k, questions), -np.inf)
+
+    @property
+    def least(self) -> np.ndarray:
+        return self.best[0]
+
+    def reached(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row (document) and column (question) of the scores that are among the k best so far, or equal to the last."""
+        k = len(self.best)
+        both = np.concatenate([self.best, score])
+        self.best = np.sort(np.partition(both, len(both) - k, axis=0)[len(both) - k :], axis=0)
+        return np.nonzero(score >= self.least)
+
+
+class Tokens:
+    """The tokens of questions as columns of one matrix, those of a question side by side."""
+
+    def __init__(self, questions: list, vectors: np.ndarray):
+        order = np.argsort(questions, kind="stable")
+        self.names, self.starts = np.unique(np.array(questions)[order], return_index=True)
+        self.matrix = np.ascontiguousarray(vectors[order].T)
+        self.lengths = np.sqrt((self.matrix**2).sum(axis=0))
+
+    def maxima(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The best product of each token with the rows of each document, which begin at ``starts``."""
+        return np.maximum.reduceat(rows @ self.matrix, starts, axis=0)
+
+    def sums(self, maxima: np.ndarray) -> np.ndarray:
+        return np.round(np.add.reduceat(maxima, self.starts, axis=1), 6)
+
+    def bounds(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What no document's scores exceed, from the mean of its rows and their greatest distance from it."""
+        n = np.diff(np.append(starts, len(rows)))
+        mean = np.add.reduceat(rows, starts, axis=0) / n[:, None]
+        far = np.sqrt(np.maximum.reduceat(((rows - np.repeat(mean, n, axis=0)) ** 2).sum(axis=1), starts))
+        return np.add.reduceat(mean @ self.matrix + far[:, None] * self.lengths, self.starts, axis=1) + 1e-5
+
+
+def documents_scored(batches: Iterator[pa.RecordBatch], tokens: Tokens, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Documents, numbers of questions and scores worth keeping; rows come document after document, ``first`` marks where each begins."""
+    kept, open_doc, open_max = Kept(len(tokens.names), k), None, None
+
+    def told(docs: pa.Array, maxima: np.ndarray):
+        score = tokens.sums(maxima)
+        d, q = kept.reached(score)
+        return docs.take(pa.array(d)), q, score[d, q]
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            first, docs = batch.column("first").to_numpy(zero_copy_only=False), batch.column("doc")
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if first[0] and open_doc is not None:
+                yield told(open_doc, open_max)
+                open_doc = None
+            starts = np.flatnonzero(first)
+            if not first[0]:
+                starts = np.append(0, starts)
+            alive = np.ones(len(starts), bool)
+            if len(v) >= 4 * len(starts) > 8 and np.isfinite(kept.least).all():
+                alive = (tokens.bounds(v, starts) >= kept.least).any(axis=1)
+                alive[0] = alive[-1] = True  # the rest of these may be in other batches
+            if not alive.all():
+                sizes = np.diff(np.append(starts, len(v)))
+                v, starts, sizes = v[np.repeat(alive, sizes)], starts[alive], sizes[alive]
+                docs = docs.take(pa.array(starts))
+                maxima = tokens.maxima(v, np.cumsum(sizes) - sizes)
+            else:
+                docs = docs.take(pa.array(starts))
+                maxima = tokens.maxima(v, starts)
+            if not first[0]:
+                maxima[0] = np.maximum(maxima[0], open_max[0])
+                docs = pa.concat_arrays([open_doc, docs.slice(1)])
+            if len(docs) > 1:
+                yield told(docs.slice(0, len(docs) - 1), maxima[:-1])
+            open_doc, open_max = docs.slice(len(docs) - 1), maxima[-1:]
+    if open_doc is not None:
+        yield told(open_doc, open_max)
+
+
 def max_sim(vectors: DataFrame, queries: DataFrame, doc: str, k: int, group: str | None = None) -> DataFrame:
     """Late interaction: of each document, the sum over query tokens of the best of its vectors; the k best documents.
 
-    Tokens go to every task, GROUP of them at a time. With ``group``, the best of each query by that column.
+    With ``group``, the best of each question by that column. Vectors are brought together by document, once; a task multiplies
+    a document's vectors with all tokens, skips documents that cannot reach a question's k best, and tells on
+    only what can. Documents of very many vectors are at most KEYS: each task tells the greatest products of its part.
+    Tokens are a stated set, sent to every task, GROUP at a time (those of one question stay together).
+
+    Cases: null vectors, and documents without another, take no part; a null document is one of its own; repeated rows change
+    nothing; ties go to the smaller document; an empty table, of either kind, gives an empty result.
     """
-    by = ["_g"] if group else []
-    q = queries.select(F.col("vec_id").alias("token"), F.col("embedding").alias("q"), *([F.col(group).alias("_g")] if group else []))
-    groups, best = -(-q.count() // GROUP) or 1, None
-    for g in range(groups):
-        some = F.broadcast(q.where(F.pmod(F.xxhash64("token"), F.lit(groups)) == g))
-        found = vectors.crossJoin(some).groupBy(doc, "token", *by).agg(F.max(T.dot(F.col("embedding"), F.col("q"))).alias("m"))
-        best = found if best is None else best.union(found)
-    score = best.groupBy(doc, *by).agg(F.round(F.sum("m"), 6).alias("score"))
+    spark, kind = vectors.sparkSession, vectors.schema[doc].dataType
+    asked = queries.where(F.col("embedding").isNotNull()).select(F.col("embedding").cast("array<double>").alias("v"), *([F.col(group).alias("q")] if group else []))
+    got = asked.toArrow()
+    q_kind = queries.schema[group].dataType.simpleString() if group else "int"
+    names = pc.unique(got["q"].combine_chunks()) if group else pa.array([0])
+    number = pc.index_in(got["q"].combine_chunks(), value_set=names).to_numpy() if group else np.zeros(len(got), np.int64)
+    whole = got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1) if len(got) else np.zeros((0, 0))
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col(doc).alias("doc"), F.col("embedding").cast("array<double>").alias("v"))
+    sizes = written(rows.groupBy("doc").agg(F.count("*").alias("n")), "document_sizes")
+    limit = max(KEYS, (sizes.agg(F.sum("n")).first()[0] or 0) // KEYS)
+    hot = sizes.where(F.col("n") > limit).select(F.col("doc").alias("hot_doc"), (F.row_number().over(Window.orderBy("doc")) - 1).alias("id"))  # at most KEYS rows
+    names_hot = hot.orderBy("id").toArrow()["hot_doc"].combine_chunks()
+    told = rows.join(F.broadcast(hot), F.col("doc").eqNullSafe(F.col("hot_doc")), "left").drop("hot_doc") if len(names_hot) else rows.withColumn("id", F.lit(None).cast("int"))
+    first = (F.row_number().over(Window.partitionBy("doc").orderBy(F.lit(0))) == 1).alias("first")
+    cold = told.where("id is null").select("doc", "v", first)
+    few, many = told.where("id is not null").select("id", "v"), None
+
+    # whole questions, until GROUP tokens are together
+    counts = np.bincount(number, minlength=len(names)) if len(number) else np.zeros(len(names), np.int64)
+    bundle = (np.cumsum(counts) - counts) // GROUP
+    for b in np.unique(bundle):
+        own = bundle[number] == b
+        if not own.any():
+            continue
+        sent = spark.sparkContext.broadcast(Tokens(number[own].tolist(), whole[own]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for docs, q, score in documents_scored(batches, sent.value, k):
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.names[q].astype(np.int32)), docs, pa.array(score)], names=["q", "doc", "score"])
+
+        def greatest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[int, np.ndarray] = {}
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    ids = batch.column("id").to_numpy()
+                    order = np.argsort(ids, kind="stable")
+                    found, starts = np.unique(ids[order], return_index=True)
+                    for i, m in zip(found.tolist(), sent.value.maxima(v[order], starts)):
+                        best[i] = np.maximum(best[i], m) if i in best else m
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.list_(pa.float64()))], names=["id", "m"])
+
+        found = with_package(cold).mapInArrow(run, StructType([StructField("q", IntegerType()), StructField("doc", kind), StructField("score", DoubleType())]))
+        if len(names_hot):
+            of = Tokens(number[own].tolist(), whole[own])
+            place = spark.createDataFrame(list(enumerate(np.repeat(of.names, np.diff(np.append(of.starts, own.sum()))).tolist())), "at int, q int")
+            parts = with_package(few).mapInArrow(greatest, "id int, m array<double>").select("id", F.posexplode("m").alias("at", "m")).groupBy("id", "at").agg(F.max("m").alias("m"))
+            sums = parts.join(F.broadcast(place), "at").groupBy("id", "q").agg(F.round(F.sum("m"), 6).alias("score"))
+            found = found.unionByName(sums.join(F.broadcast(hot), "id").select("q", F.col("hot_doc").alias("doc"), "score"))
+        many = found if many is None else many.unionByName(found)
+    if many is None:
+        many = cold.where("false").select(F.lit(0).alias("q"), "doc", F.lit(0.0).alias("score"))
+    best = ranked(many, ["q"], [F.desc("score"), F.col("doc")], k)
     if not group:
-        return score.orderBy(F.desc("score"), doc).limit(k)
-    return ranked(score, by, [F.desc("score"), F.col(doc)], k).withColumnRenamed("_g", group)
+        return best.select(F.col("doc").alias(doc), "score")
+    asked_names = spark.createDataFrame(list(enumerate(names.to_pylist())), f"q int, `_name` {q_kind}")
+    return best.join(F.broadcast(asked_names), "q").select(F.col("doc").alias(doc), F.col("_name").alias(group), "score", "rank")
 
 
 def fuse(lists: DataFrame, k: int | Column, base: int, constant: int, by: tuple[str, ...] = ()) -> DataFrame:

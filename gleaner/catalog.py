@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import corpus, engine, gates, retrieval, routes, tables  # noqa: F401  they fill the registry
+from gleaner.plans import corpus, engine, gates, reading, retrieval, routes, tables  # noqa: F401  they fill the registry
 from gleaner.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_recall"

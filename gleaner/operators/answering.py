@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import rows as R
 from gleaner.operators import search
+from gleaner.workers import with_package
 
 #: Lines of a line search, characters of a summary beside a file.
 MOST_LINES, SUPPLEMENT = 30, 10_000
@@ -41,16 +45,44 @@ def line_hits(files: DataFrame, questions: DataFrame, most: int = MOST_LINES) ->
     """question_id, path, line_number and line: the first lines of each file (path, text) that hold a telling token.
 
     Questions (question_id, question) are a stated set, of which each task gets at most search.GROUP; more are asked in
-    parts. A text's lines are found within its row, so a file of any length moves once and only its hits leave the task.
+    parts. All their tokens make one automaton, run once over each line, so a text is read once for all questions of a part and
+    only hits leave the task. A null text has no lines.
     """
-    asked = questions.select("question_id", T.telling_tokens(F.col("question")).alias("_tokens")).where(F.size("_tokens") > 0)
-    parts, out = -(-asked.count() // search.GROUP) or 1, None
-    for part in range(parts):
-        some = F.broadcast(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part))
-        numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line")))
-        hit = lambda x: F.exists("_tokens", lambda t: F.contains(x["line"], t))
-        found = files.select("path", numbered.alias("_lines")).crossJoin(some).select("question_id", "path", F.explode(F.slice(F.filter("_lines", hit), 1, most)).alias("x")).select("question_id", "path", "x.*")
-        out = found if out is None else out.union(found)
+    asked = questions.select("question_id", T.telling_tokens(F.col("question")).alias("tokens")).where(F.size("tokens") > 0)
+    got, out = asked.collect(), None
+    types = {"question_id": asked.schema["question_id"].dataType.simpleString(), "path": files.schema["path"].dataType.simpleString()}
+    for begin in range(0, max(1, len(got)), search.GROUP):
+        some = got[begin : begin + search.GROUP]
+        of: dict[str, list[int]] = {}
+        for k, r in enumerate(some):
+            for token in r["tokens"]:
+                of.setdefault(token, []).append(k)
+        sent = files.sparkSession.sparkContext.broadcast(of)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            tokens = ahocorasick.Automaton()
+            for token, asks in sent.value.items():
+                tokens.add_word(token, asks)
+            tokens.make_automaton()
+            for batch in batches:
+                row, question, number, lines = [], [], [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    told: dict[int, int] = {}
+                    for n, line in enumerate((text or "").split("\n") if sent.value else (), 1):
+                        for k in sorted({k for _, asks in tokens.iter(line) for k in asks if told.get(k, 0) < most}):
+                            told[k] = told.get(k, 0) + 1
+                            row.append(i)
+                            question.append(k)
+                            number.append(n)
+                            lines.append(line)
+                yield pa.RecordBatch.from_arrays([pa.array(question, pa.int32()), batch.column("path").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(lines, pa.string())], names=["q", "path", "line_number", "line"])
+
+        found = with_package(files.select("path", "text")).mapInArrow(run, f"q int, path {types['path']}, line_number int, line string")
+        names = files.sparkSession.createDataFrame([(k, r["question_id"]) for k, r in enumerate(some)], f"q int, question_id {types['question_id']}")
+        found = found.join(F.broadcast(names), "q").select("question_id", "path", "line_number", "line")
+        out = found if out is None else out.unionByName(found)
     return out
 
 

@@ -40,7 +40,8 @@ MARKS = {
 
 
 def newest(events: DataFrame) -> DataFrame:
-    w = Window.partitionBy("path").orderBy(F.desc("at"))
+    """The newest event of each path; of several at one time always the same one, by a hash of the row."""
+    w = Window.partitionBy("path").orderBy(F.desc("at"), F.xxhash64(*events.columns))
     return events.where("path is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

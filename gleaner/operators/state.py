@@ -38,8 +38,8 @@ def first_copies(docs: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
-    """The newest n rows of each key."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where(F.col("place") <= n)
+    """The newest n rows of each key; of several at one time always the same ones, by hashes of the rows."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order), F.xxhash64(*rows.columns)))).where(F.col("place") <= n)
 
 
 def asset_folders(files: DataFrame, images: tuple[str, ...], documents: tuple[str, ...], least: int = 15) -> DataFrame:

@@ -47,6 +47,28 @@ def current(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def before(spark: SparkSession, target: str, n: int, schema) -> DataFrame:
+    """The table as it stood before the batch of that number, whether or not the batch ran already."""
+    paths = [versions[max(old)] for _, versions in sorted(_versions(spark, target).items()) if (old := [v for v in versions if v < n])]
+    return _read(spark, paths, schema)
+
+
+def commit(target: str, rows: DataFrame, n: int, key: str, order: str, parts: int = PARTS) -> None:
+    """Merges a batch's rows into the table below target, as ``ingest`` tells."""
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+    newest = Window.partitionBy(key).orderBy(F.desc(order), F.xxhash64(*rows.columns))
+    new = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").withColumn("part", part).persist()
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
+    known = {k: {v: p for v, p in versions.items() if v < n} for k, versions in _versions(spark, target).items()}
+    old = _read(spark, [known[k][max(known[k])] for k in touched if known.get(k)], rows.schema).withColumn("part", part)
+    upsert(old, new, key).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/v{n:012d}")
+    new.unpersist()
+    for versions in known.values():
+        for v in sorted(versions)[:-1]:
+            _delete(spark, versions[v])
+
+
 def ingest(arriving: DataFrame, target: str, key: str, order: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
     """Merges a stream into a table below target; the newest row of a key (by ``order``) of a batch stays.
 
@@ -54,19 +76,5 @@ def ingest(arriving: DataFrame, target: str, key: str, order: str, checkpoint: s
     what it touches, and a batch that runs again writes the same rows in the same place. Versions that a batch
     replaces are deleted by the next one, so a reader of the table before has a batch's time to finish.
     """
-    spark = arriving.sparkSession
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
-
-    def merge(batch: DataFrame, n: int) -> None:
-        newest = Window.partitionBy(key).orderBy(F.desc(order))
-        new = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").withColumn("part", part).persist()
-        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
-        known = {k: {v: p for v, p in versions.items() if v < n} for k, versions in _versions(spark, target).items()}
-        old = _read(spark, [known[k][max(known[k])] for k in touched if known.get(k)], batch.schema).withColumn("part", part)
-        upsert(old, new, key).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/v{n:012d}")
-        new.unpersist()
-        for versions in known.values():
-            for v in sorted(versions)[:-1]:
-                _delete(spark, versions[v])
-
+    merge = lambda batch, n: commit(target, batch, n, key, order, parts)
     return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

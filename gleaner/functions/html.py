@@ -26,7 +26,7 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text", error: s
 
     A block counts its words less WORDS (and not below -SHORT), a heading its words, and one of which over a LINKS-th is links
     its words less than nothing; the text is the run of blocks with the greatest sum (the first, and its shortest), without blocks of links. A page without such
-    a run gives its html as it is; without anything in that, an error and a null text. A null page is an empty one.
+    a run gives all its blocks but those of links, one without these its html as it is; without anything in that, an error and a null text. A null page is an empty one.
     """
     t = F.coalesce(F.col(html).cast("string"), F.lit(""))
     for tag in SILENT:
@@ -51,8 +51,9 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text", error: s
         return F.struct(pick(run, "best"), pick(start, "begin"), pick(s["at"], "end"), run.alias("run"), start.alias("start"), (s["at"] + 1).alias("at"))
 
     out = out.withColumn("_run", F.aggregate("_blocks", zero, step))
-    chosen = F.filter(F.slice("_blocks", F.col("_run.begin") + 1, F.col("_run.end") - F.col("_run.begin") + 1), lambda b: b["links"] * LINKS <= b["words"])
+    near = F.when(F.col("_run.best") > 0, F.slice("_blocks", F.col("_run.begin") + 1, F.col("_run.end") - F.col("_run.begin") + 1)).otherwise(F.col("_blocks"))
+    chosen = F.filter(near, lambda b: b["links"] * LINKS <= b["words"])
     found = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
     raw = F.trim(F.coalesce(F.col(html).cast("string"), F.lit("")))
-    out = out.withColumn(text, F.nullif(F.when(F.col("_run.best") > 0, found).otherwise(raw), F.lit("")))
+    out = out.withColumn(text, F.nullif(F.when(found != "", found).otherwise(raw), F.lit("")))
     return out.withColumn(error, F.when(F.col(text).isNull(), "html extracted empty text")).drop("_blocks", "_run")

@@ -25,7 +25,8 @@ f AS (SELECT *, sum(CASE WHEN links * 3 > words THEN -words WHEN heading THEN wo
 g AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY page_id ORDER BY i), 0) AS before FROM f),
 r AS (SELECT b.page_id, b.i AS b, e.i AS e, e.upto - b.before AS total FROM g b JOIN g e ON b.page_id = e.page_id AND b.i <= e.i QUALIFY row_number() OVER (PARTITION BY b.page_id ORDER BY total DESC, e.i, b.i DESC) = 1),
 m AS (SELECT g.page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM g JOIN r ON r.page_id = g.page_id AND g.i BETWEEN r.b AND r.e WHERE total > 0 AND links * 3 <= words GROUP BY g.page_id),
-w AS (SELECT a.page_id, nullif(coalesce(m.text, trim(html), ''), '') AS text FROM a LEFT JOIN m USING (page_id))
+o AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM g WHERE links * 3 <= words GROUP BY page_id),
+w AS (SELECT a.page_id, nullif(coalesce(m.text, o.text, trim(html), ''), '') AS text FROM a LEFT JOIN m USING (page_id) LEFT JOIN o USING (page_id))
 SELECT page_id, text, CASE WHEN text IS NULL THEN 'html extracted empty text' END AS error FROM w""")
 def main_text(spark, sf_dir):
     """The main text of web pages: the run of blocks that speaks most, without links and what stands around it."""

@@ -85,7 +85,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, cost: float = 0.1, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, cost: float = 1.0, seed: int = 7) -> Model:
     """Log-count ratios, then dual coordinate descent on the hinge loss, then a logistic curve over the margins."""
     size = 1 << BITS
     if len(rows) == 0 or labels.min() == labels.max():
@@ -104,7 +104,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, cost: floa
         for i in rng.permutation(len(rows)):
             found, x, y = rows[i], scaled[i], sign[i]
             gradient = y * (w[found] @ x + b) - 1
-            new = min(max(alpha[i] - gradient / 2.0, 0.0), 10 * bound[i])
+            new = min(max(alpha[i] - gradient / 2.0, 0.0), bound[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y
                 w[found] += step * x

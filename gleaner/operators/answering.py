@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.operators import rows as R
 from gleaner.operators import search
+from gleaner.staging import written
 from gleaner.workers import with_package
 
 #: Lines of a line search, characters of a summary beside a file.
@@ -120,7 +121,7 @@ def file_blocks(wanted: DataFrame, table_rows: DataFrame, contents: DataFrame, m
     told = wanted.join(manifest.select("path", "routes", "summary"), "path", "left")
     previewed = F.coalesce(F.array_contains("routes", "T0"), F.lit(False))
     kind = F.when(is_table & has_rows, "row-windows").when(is_table, "sample").when(previewed, "line-hits").otherwise("content")
-    told = told.withColumn("kind", kind).persist()
+    told = written(told.withColumn("kind", kind), "wanted")
     keyed = F.concat_ws("\x00", F.col("question_id").cast("string"), "path")
     # each question has windows of its own: its id is part of the table's name here
     windows_of = told.where("kind = 'row-windows'").select(keyed.alias("k"), "path", F.explode("rows").alias("row_idx"))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators import answering, hybrid
+from gleaner.operators import answering, hybrid, index
+from gleaner.staging import written
 
 Agent = Callable[[list[str]], list[str]]
 
@@ -27,12 +28,25 @@ def replies(prompts: DataFrame, agent: Agent) -> DataFrame:
     return prompts.withColumn("reply", run("prompt"))
 
 
+def search_rewritten(points: DataFrame, questions: DataFrame, rewriter: Agent, embedder: index.Embedder = index.hashed, **search) -> DataFrame:
+    """The hits of ``hybrid.run_search`` for questions (question_id, question, history) as a model rewrites them.
+
+    rewriter: from prompts to JSON texts with query and keywords; where it fails, or gives none, the question stands for itself.
+    """
+    told = replies(questions.withColumn("prompt", hybrid.rewrite_prompt(F.col("question"), F.col("history"))), rewriter)
+    told = told.withColumn("_r", F.from_json("reply", "query string, keywords array<string>"))
+    asked = told.withColumn("search", hybrid.rewritten(F.col("question"), F.col("_r.query"), F.col("_r.keywords"))).select("question_id", "question", "search")
+    asked = written(asked, "rewritten")  # a model is asked once
+    return hybrid.run_search(points, asked.withColumn("embedding", index.embedded(F.col("search"), embedder)), **search)
+
+
 def ask(points: DataFrame, questions: DataFrame, table_rows: DataFrame, contents: DataFrame, manifest: DataFrame, agent: Agent, fallback: str = "The answer could not be read.", **search) -> DataFrame:
     """question_id, answer, sources and dropped (cited files that the question was not given) of each question."""
     hits = hybrid.run_search(points, questions, **search)
     wanted = hybrid.rows_of_hits(hits)
     blocks = answering.file_blocks(wanted, table_rows, contents, manifest, questions)
     said = replies(answering.prompts(blocks, questions), agent).select("question_id", answering.repaired_answer(F.col("reply"), fallback).alias("a"))
-    answers = said.select("question_id", F.col("a.answer").alias("answer"), F.col("a.sources_used").alias("sources_used"), F.lit(False).alias("not_found")).persist()
+    answers = said.select("question_id", F.col("a.answer").alias("answer"), F.col("a.sources_used").alias("sources_used"), F.lit(False).alias("not_found"))
+    answers = written(answers, "answers")  # a model is asked once, and what was said is what is checked
     kept = answering.kept_sources(answers, wanted.select("question_id", "path"))
     return answers.select("question_id", "answer").join(kept, "question_id")

@@ -44,13 +44,6 @@ def term_weights(texts: DataFrame, key: str, text: str, k1: float, b: float, ave
     return terms.select(key, "term", weight.alias("w"))
 
 
-def sparse_vectors(texts: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, average: Column | None = None) -> DataFrame:
-    """key, and the terms of each text (sorted) with their weights, as two arrays."""
-    pair = F.array_sort(F.collect_list(F.struct("term", "w")))
-    found = term_weights(texts, key, text, k1, b, average).groupBy(key).agg(pair.alias("_p"))
-    return found.select(key, F.transform("_p", lambda x: x["term"]).alias("terms"), F.transform("_p", lambda x: x["w"]).alias("weights"))
-
-
 def lists_of(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 

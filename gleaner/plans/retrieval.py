@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import answering, hybrid, search
+from gleaner.operators import answering, hybrid, inverted, search
 from gleaner.plans.registry import query, table
+from gleaner.staging import shared_dir
 
 _BM25 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents),
@@ -39,6 +42,20 @@ def bm25_recall(spark, sf_dir):
     return best.agg(F.count_if(F.col("best") == 1).alias("hit_at_1"), F.count_if(F.col("best") <= 5).alias("hit_at_5"), F.count("*").alias("items"))
 
 
+@query(_BM25 + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def kept_index_topk(spark, sf_dir):
+    """The best documents for each benchmark item, from an index that is built once and read in place of texts."""
+    index = inverted.build(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    return inverted.search(index, table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+@query(_BM25 + """SELECT doc_id, count(*) AS terms, round(sum(w), 4) AS total, round(max(w), 6) AS greatest FROM p GROUP BY doc_id""")
+def sparse_vectors(spark, sf_dir):
+    """Each document's sparse vector: how many numbered terms it has, and their weights summed and at most."""
+    told = inverted.vectors(table(spark, sf_dir, "documents"), "doc_id")
+    return told.select("doc_id", F.size("ids").cast("bigint").alias("terms"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.array_max("weights"), 6).alias("greatest"))
+
+
 _DENSE = """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label,
   round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from gleaner.operators.joins import joined
 from gleaner.staging import written
 
+#: Fixed value: recent questions that are kept of a user.
+STORED = 10
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old rows that the new ones do not replace, and the new ones."""
@@ -42,6 +45,28 @@ def latest(rows: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order), F.xxhash64(*rows.columns)))).where(F.col("place") <= n)
 
 
+def known_actions(log: DataFrame) -> DataFrame:
+    """The rows of a log of recents (user, n, action, entry) that have a user, a number and a known action."""
+    known = log.where(F.col("user").isNotNull() & F.col("n").isNotNull() & F.col("action").isin("add", "clear"))
+    return known.select(F.col("user").cast("string").alias("user"), F.col("n").cast("bigint").alias("n"), "action", F.col("entry").cast("string").alias("entry"))
+
+
+def recents(log: DataFrame, most: int = STORED) -> DataFrame:
+    """user, numbers and entries: each user's newest ``most`` entries after the last clearing, newest first; empty if there are none.
+
+    log: user, n (grows with time, of its own for each row), action `add` or `clear`, entry. Repeated rows count once; those without
+    a user, a number or a known action are left out.
+    """
+    rows = known_actions(log).withColumnRenamed("n", "_at")
+    users = written(rows.groupBy("user").agg(F.max(F.when(F.col("action") == "clear", F.col("_at"))).alias("_cleared"), F.count("*").alias("n")), "users")
+    total = users.agg(F.sum("n")).first()[0] or 0
+    added = joined(rows.where("action = 'add'"), users, ["user"], total).where("_cleared is null or _at > _cleared").dropDuplicates(["user", "_at"])
+    newest = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("_at")))  # each task keeps its own newest first
+    ring = added.withColumn("_place", newest).where(F.col("_place") <= most).groupBy("user").agg(F.array_sort(F.collect_list(F.struct("_place", "_at", "entry"))).alias("_r"))
+    of = lambda name, kind: F.coalesce(F.transform("_r", lambda x: x[name]), F.array().cast(f"array<{kind}>")).alias
+    return users.select("user").join(ring, "user", "left").select("user", of("_at", "bigint")("numbers"), of("entry", "string")("entries"))
+
+
 def asset_folders(files: DataFrame, images: tuple[str, ...], documents: tuple[str, ...], least: int = 15) -> DataFrame:
     """parent of folders that hold, of their own, at least ``least`` images and no document (parent, ext)."""
     counts = files.groupBy("parent").agg(F.count_if(F.col("ext").isin(*images)).alias("images"), F.count_if(F.col("ext").isin(*documents)).alias("documents"))

@@ -25,7 +25,7 @@ def peeks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", ext.alias("ext"), F.when(k % 97 == 0, ".bashrc").otherwise(F.concat(F.lit("f"), ext)).alias("name"), (n * 211).alias("size_bytes"), (k % 53).alias("page_count"), (n % 700).alias("text_density"),
         (k % 5 != 0).alias("extractable"), ((k % 10) / F.lit(10.0)).alias("image_ratio"), (n * 37).alias("row_count"), F.when(image, k * 7 % 1500).alias("width"), F.when(image, n % 1500).alias("height"),
-        F.when(k % 2 == 0, "hereby total balance SSN").otherwise(F.left("text", F.lit(5000))).alias("peek_text"), F.when(k % 31 == 0, "broken").alias("peek_error"),
+        F.left(F.concat(F.when(k % 2 == 0, "hereby total balance SSN ").otherwise(""), F.col("text")), F.lit(5000)).alias("peek_text"), F.when(k % 31 == 0, "broken").alias("peek_error"),
         F.when(k % 7 == 0, "Critical").when(k % 7 == 1, "casual").alias("accuracy"), F.when(k % 11 == 0, "never").when(k % 11 == 1, "always").alias("visual"), F.when(k % 3 == 0, 0.01).alias("budget_gb"),
         (k % 4 != 0).alias("gpu"), F.when(k % 6 == 0, 8.0).otherwise(0.0).alias("used_mb"),
     )
@@ -34,10 +34,10 @@ def peeks(spark, sf_dir) -> DataFrame:
 _PEEKS = f"""
 p AS (SELECT doc_id AS k, n_chars AS n, text, ['{"','".join(_EXTS)}'][doc_id % {len(_EXTS)} + 1] AS ext, doc_id % 97 = 0 AS dot, n_chars * 211 AS size, doc_id % 53 AS pages, n_chars % 700 AS density, doc_id % 5 <> 0 AS ok,
  (doc_id % 10) / 10.0::DOUBLE AS ratio, n_chars * 37 AS n_rows, doc_id * 7 % 1500 AS w, n_chars % 1500 AS h, doc_id % 31 = 0 AS bad, doc_id % 4 <> 0 AS gpu, CASE WHEN doc_id % 6 = 0 THEN 8.0 ELSE 0.0 END AS used FROM documents),
-q AS (SELECT p.*, CASE WHEN k % 2 = 0 THEN 7 ELSE s.score END AS sens,
+q AS (SELECT p.*, s.score AS sens,
  CASE ext WHEN '.txt' THEN 'text' WHEN '.py' THEN 'code' WHEN '.json' THEN 'config' ELSE substr(ext, 2) END AS kind0, greatest(pages, 1) * 0.2::DOUBLE AS mb0, greatest(pages, 1) * CASE WHEN gpu THEN 1.0 ELSE 10.0 END AS s0,
  least(10, CASE ext WHEN '.pdf' THEN CASE WHEN density < 50 THEN 5 WHEN density < 500 THEN 2 ELSE 0 END + CASE WHEN ok THEN 0 ELSE 3 END WHEN '.docx' THEN CASE WHEN ratio > 0.3 THEN 2 ELSE 0 END
-  WHEN '.png' THEN CASE WHEN w >= 600 AND h >= 600 THEN 4 ELSE 0 END + CASE WHEN h <> 0 AND (w / h < 0.65 OR w / h > 1.6) THEN 1 ELSE 0 END ELSE 0 END) AS vs FROM p JOIN ({ORACLE_SQL["sensitivity_score"].replace("FROM documents", "FROM (SELECT doc_id, text[1:5000] AS text FROM documents)")}) s ON s.doc_id = p.k),
+  WHEN '.png' THEN CASE WHEN w >= 600 AND h >= 600 THEN 4 ELSE 0 END + CASE WHEN h <> 0 AND (w / h < 0.65 OR w / h > 1.6) THEN 1 ELSE 0 END ELSE 0 END) AS vs FROM p JOIN ({ORACLE_SQL["sensitivity_score"].replace("FROM documents", "FROM (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'hereby total balance SSN ' ELSE '' END || text)[1:5000] AS text FROM documents)")}) s ON s.doc_id = p.k),
 r AS (SELECT *, CASE WHEN dot THEN 'dotfile' ELSE kind0 END AS kind, CASE WHEN k % 7 = 0 OR sens >= 4 THEN 'critical' WHEN k % 7 = 1 THEN 'casual' ELSE 'normal' END AS lv, CASE WHEN k % 7 = 0 THEN 'user' WHEN sens >= 4 THEN 'auto' WHEN k % 7 = 1 THEN 'user' ELSE 'default' END AS og,
  mb0 <= 50 AND s0 <= CASE WHEN gpu THEN 30 ELSE 10 END AND used + mb0 <= CASE WHEN k % 3 = 0 THEN 10.24 ELSE 5120 END AND k % 11 <> 0 AS see FROM q),
 t AS (SELECT *, CASE WHEN lv = 'critical' THEN 'T3,T2' ELSE 'T2' END AS rd, CASE WHEN lv = 'critical' THEN 'T3,T4' ELSE 'T4' END AS sh,
@@ -450,6 +450,17 @@ def log_join(spark, sf_dir):
     return state.exchanges(log).withColumn("seconds", F.round("seconds", 3))
 
 
+@query("""WITH c AS (SELECT user_id, max(event_id) AS n FROM events WHERE event_type = 'error' GROUP BY user_id),
+e AS (SELECT e.user_id, e.event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) AS place FROM events e LEFT JOIN c USING (user_id) WHERE e.event_type <> 'error' AND (c.n IS NULL OR e.event_id > c.n))
+SELECT CAST(u.user_id AS VARCHAR) AS user, count(e.event_id) AS entries, coalesce(string_agg(CAST(e.event_id AS VARCHAR), ' ' ORDER BY place), '') AS numbers
+FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) u LEFT JOIN (SELECT * FROM e WHERE place <= 10) e USING (user_id) GROUP BY u.user_id""")
+def recents_log(spark, sf_dir):
+    """Each user's ten newest entries after the last clearing, from the log: errors clear, other events are entries."""
+    action = F.when(F.col("event_type") == "error", "clear").otherwise("add")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("n"), action.alias("action"), F.col("event_type").alias("entry"))
+    return state.recents(log).select("user", F.size("entries").cast("bigint").alias("entries"), F.array_join(F.col("numbers").cast("array<string>"), " ").alias("numbers"))
+
+
 @query("""WITH i AS (SELECT max(ts) AS t FROM events WHERE event_type = 'purchase'), a AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN ts END AS asked FROM events) SELECT event_id, coalesce(asked < t, false) AS is_stale FROM a, i""")
 def staleness(spark, sf_dir):
     """Answers asked before the index changed; a time that cannot be read counts as fresh."""

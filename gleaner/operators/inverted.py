@@ -38,9 +38,9 @@ FIELDS = "slice bigint, id bigint, term string, n bigint, tokens bigint, docs ar
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
-def number(term: str) -> int:
-    """The number of a term: its XXH64, as ``xxhash64`` of Spark gives it."""
-    return int(np.uint64(xxhash.xxh64_intdigest(term.encode(), seed=42)).astype(np.int64))
+def numbers(terms: list[str]) -> np.ndarray:
+    """The numbers of terms: their XXH64, as ``xxhash64`` of Spark gives it."""
+    return np.array([xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms], np.uint64).view(np.int64)
 
 
 class _Slice:
@@ -80,7 +80,7 @@ class _Slice:
         names, m = list(self.terms), len(self.terms)
         nulls = lambda kind: pa.nulls(m, kind)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, at)), pa.array([number(t) for t in names]), pa.array(names), pa.array(sizes), nulls(pa.int64()), lists_of(docs, sizes), lists_of(counts, sizes),
+            [pa.array(np.full(m, at)), pa.array(numbers(names)), pa.array(names), pa.array(sizes), nulls(pa.int64()), lists_of(docs, sizes), lists_of(counts, sizes),
              lists_of(tf[tops].astype(np.int32), np.bincount(term[tops], minlength=m)), lists_of(lens[doc][tops].astype(np.int32), np.bincount(term[tops], minlength=m)), nulls(pa.list_(keys.type)), nulls(pa.list_(pa.int32()))], names=NAMES)
 
 
@@ -251,12 +251,11 @@ def vectors(docs: DataFrame, key: str, text: str = "text", k1: float = 1.2, b: f
                 part = _Slice()
                 part.add(piece.column(0), piece.column(1))
                 (doc, term, tf), = part.pairs
-                numbers = np.array([number(t) for t in part.terms], np.int64)
-                order = np.lexsort((numbers[term], doc)) if len(doc) else np.zeros(0, np.int64)
+                named = numbers(list(part.terms))
+                order = np.lexsort((named[term], doc))
                 w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * part.lens[0][doc] / mean))
                 each = np.bincount(doc, minlength=part.docs)
                 full = np.flatnonzero(each)
-                ids = numbers[term[order]] if len(doc) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(full)), lists_of(ids, each[full]), lists_of(w[order], each[full])], names=[key, "ids", "weights"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(full)), lists_of(named[term[order]], each[full]), lists_of(w[order], each[full])], names=[key, "ids", "weights"])
 
     return with_package(told).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<bigint>, weights array<double>")

@@ -28,7 +28,7 @@ from gleaner.staging import written
 from gleaner.workers import with_package
 
 #: Documents and postings of a slice, at which it is closed; rows told at once.
-DOCS, POSTINGS, ROWS = 65_536, 2_000_000, 1024
+DOCS, POSTINGS, ROWS = 65_536, 1_000_000, 1024
 #: Asked terms up to which the scan is told them, so that it skips row groups.
 LISTED = 1000
 #: Scores are rounded to six places before they are ranked; bounds are held against the kth with this much room.

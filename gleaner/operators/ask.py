@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,9 +11,51 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import answering, hybrid, index
 from gleaner.staging import written
+from gleaner.workers import with_package
 
 Agent = Callable[[list[str]], list[str]]
 
+#: Fixed value: how often a provider is asked that says it is asked too much.
+TRIES = 6
+
+
+class Limited(Exception):
+    """A provider is asked too much; ``seconds`` until it may be asked again, if it told them."""
+
+    def __init__(self, seconds: float | None = None) -> None:
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
+def patient(agent: Agent, other: Agent | None = None, tries: int = TRIES, wait: Callable[[float], None] = time.sleep) -> Agent:
+    """An agent that waits where the provider is ``Limited``, as long as it says or twice as long each time, from two seconds.
+
+    At any other failure, or once all tries are used, the other provider is asked once; without one, or if it fails too, the failure goes on.
+    """
+
+    def asked(prompts: list[str]) -> list[str]:
+        pause = 2.0
+        for left in reversed(range(tries)):
+            try:
+                return agent(prompts)
+            except Limited as e:
+                if left:
+                    wait(pause if e.seconds is None else e.seconds)
+                    pause *= 2
+                    continue
+                failure: Exception = e
+            except Exception as e:  # noqa: BLE001  whatever it is, the other provider may do
+                failure = e
+            break
+        if other is None:
+            raise failure
+        try:
+            return other(prompts)
+        except Exception as e:
+            raise e from failure
+
+    return asked
+
 
 def replies(prompts: DataFrame, agent: Agent) -> DataFrame:
     """The prompts with a reply each; a model that fails on a batch gives no reply there."""
@@ -25,7 +68,7 @@ def replies(prompts: DataFrame, agent: Agent) -> DataFrame:
             except Exception:  # noqa: BLE001  a model that is given may fail in any way; the reply is missing then
                 yield pd.Series([None] * len(batch), dtype=object)
 
-    return prompts.withColumn("reply", run("prompt"))
+    return with_package(prompts).withColumn("reply", run("prompt"))
 
 
 def search_rewritten(points: DataFrame, questions: DataFrame, rewriter: Agent, embedder: index.Embedder = index.hashed, **search) -> DataFrame:

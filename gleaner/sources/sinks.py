@@ -50,6 +50,26 @@ def restore(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     return {r["name"]: spark.read.parquet(f"{target}/v{r['version']:012d}/{r['name']}") for r in _newest(spark, target)}
 
 
+def save_json(df: DataFrame, key: str, path: str) -> None:
+    """JSON lines in order of a key, the names of each line in order too, in the place of what the folder held.
+
+    They are written whole beside it and then renamed, so a reader meets the old lines or the new ones, and a run that dies
+    leaves the old ones, which the next save finds. Ranges of the key are written by many tasks; names of files follow
+    their order. One writer at a time.
+    """
+    spark, Path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    new, old, place = Path(f"{path}.new"), Path(f"{path}.old"), Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(place):  # a run died between the renames
+        fs.rename(old, place)
+    df.select(*(F.col(f"`{n}`") for n in sorted(df.columns))).orderBy(key).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(place):
+        fs.rename(place, old)
+    fs.rename(new, place)
+    fs.delete(old, True)
+
+
 def write_by(df: DataFrame, key: str, order: str, path: str) -> None:
     """CSV files in a folder for each key, rows in order; ranges of key and order split a key that fills many tasks."""
     df.repartitionByRange(key, order).sortWithinPartitions(key, order).write.mode("overwrite").option("header", True).partitionBy(key).csv(path)

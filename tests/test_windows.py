@@ -47,3 +47,17 @@ def test_admitted_takes_equal_items_one_by_one_and_leaves_out_what_is_no_cost(sp
     assert sorted(map(tuple, budget.admitted(rows, "g", "k", "c", 10.0).collect())) == [("a", 1, 3.0)] * 3 + [("a", 2, 1.0), ("b", 2, 0.0)]
     assert sorted(map(tuple, budget.admitted(rows, "g", "k", "c", -1.0).collect())) == []
     assert budget.admitted(rows.where("false"), "g", "k", "c", 10.0).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 4, 100_000])
+def test_admitted_adds_doubles_in_order_where_sums_are_not_exact(spark, block):
+    rng = random.Random(7)
+    items = [(g, k, rng.choice([0.1, 0.2, 0.7, 3.3, 0.0])) for g in ("a", "b", None) for k in range(8)] + [("c", k, 0.1) for k in range(3)] + [("d", 1, 0.1)] * 4 + [("e", 1, 0.2), ("e", 2, -0.3), ("e", 3, 0.4)]
+    want, used = [], defaultdict(float)
+    for g, k, c in sorted(items, key=lambda x: (str(x[0]), x[1])):
+        if used[g] + c <= 0.3:
+            used[g] += c
+            want.append((g, k, c))
+    assert [x for x in want if x[0] == "c"] == [("c", 0, 0.1), ("c", 1, 0.1)]  # 0.1 + 0.1 + 0.1 is over 0.3
+    df = spark.createDataFrame(items, "g string, k bigint, c double").repartition(3)
+    assert sorted(map(tuple, budget.admitted(df, "g", "k", "c", 0.3, block, exact=False).collect()), key=repr) == sorted(want, key=repr)

@@ -463,3 +463,11 @@ def test_exchanges_and_layers(spark):
     found = spark.createDataFrame([(f"f{i}", "stock", ".png") for _, _, i in stock] + [("x", "mix", ".png")] * 20 + [("y", "mix", ".pdf"), ("z", "stock/sub", ".pdf"), ("n", "stock", ".txt")], "path string, parent string, ext string")
     left = state.without_assets(found, (".png",), (".pdf",))
     assert left.where("parent = 'stock'").count() == 1 and left.count() == 23
+
+
+def test_exchanges_at_one_time_go_by_their_order_whatever_the_order_of_rows(spark):
+    rows = [(1, "request", 1, 0, "q"), (1, "response", 3, 1, "z"), (1, "response", 3, 2, "a"), (2, "request", 5, 3, "s"), (2, "response", None, 4, "t"), (2, "response", 6, 5, None), (2, "response", 7, 6, "u"), (3, "request", None, 7, "v")]
+    log = "request_id int, kind string, at bigint, n int, body string"
+    for own in (rows, rows[::-1]):
+        got = state.exchanges(spark.createDataFrame(own, log).coalesce(1), "n").collect()
+        assert sorted(map(tuple, got)) == [(1, "q", "z", 2.0), (2, "s", "u", 1.0)]

@@ -19,10 +19,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from gleaner.functions import text as T
 from gleaner.operators.joins import KEYS
 from gleaner.staging import written
-from gleaner.workers import with_package
+from gleaner.workers import pieces, with_package
 
-#: Queries that a task holds, and rows that it multiplies with them at once.
-GROUP, ROWS = 4096, 8192
+#: Queries that a task holds; rows and queries that it multiplies at once; terms of texts that it weighs at once.
+GROUP, ROWS, AT_ONCE, TERMS = 4096, 4096, 256, 4096
 #: Rows of a group's part when rows are dealt.
 PART = 262_144
 
@@ -53,7 +53,7 @@ def _told(texts: DataFrame, key: str, terms: pa.Array) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "_t"):
             tokens = batch.column("_t")
             n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
             place = pc.fill_null(pc.index_in(tokens.flatten(), value_set=sent.value), -1).to_numpy().astype(np.int64)
@@ -110,13 +110,14 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int = 5,
                 full = np.flatnonzero(each)
                 if not len(full):
                     continue
-                starts = (np.cumsum(each) - each)[full]
+                doc = np.repeat(np.arange(len(full)), each[full])
                 for at, matrix, place in sent.value:
                     spot = place[found]
                     score = np.zeros((len(full), matrix.shape[1]))
-                    for part in range(0, len(full), 64):  # so that the rows at hand stay small
-                        rows = slice(starts[part], starts[part + 64] if part + 64 < len(full) else len(found))
-                        score[part : part + 64] = np.add.reduceat(matrix[spot[rows]] * w[rows, None], starts[part : part + 64] - starts[part], axis=0)
+                    for part in range(0, len(found), TERMS):  # so that the rows at hand stay small, however long a text
+                        rows = slice(part, part + TERMS)
+                        own, first = np.unique(doc[rows], return_index=True)
+                        score[own] += np.add.reduceat(matrix[spot[rows]] * w[rows, None], first, axis=0)
                     score = np.round(score, 6)
                     q, d = best_of(score.T, k, score.T > 0)
                     yield pa.RecordBatch.from_arrays([pa.array(q + at), batch.column(key).take(pa.array(full[d])), pa.array(score[d, q])], names=["q", key, "score"])
@@ -176,10 +177,10 @@ def scored(vectors: DataFrame, queries: DataFrame, k: int, scorer: Scorer = prod
 
     def pairs(ids: np.ndarray, v: np.ndarray, asked: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(ids), ROWS):
-            for q in range(0, len(asked[0]), 512):
-                first, score = scorer(v[at : at + ROWS], asked[1][q : q + 512])
+            for q in range(0, len(asked[0]), AT_ONCE):
+                first, score = scorer(v[at : at + ROWS], asked[1][q : q + AT_ONCE])
                 a, b = best_of(first, k)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[0][q : q + 512][a]), pa.array(ids[at : at + ROWS][b]), pa.array(first[a, b].astype(float)), pa.array(score[a, b])], names=["query_id", "vec_id", "first", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[0][q : q + AT_ONCE][a]), pa.array(ids[at : at + ROWS][b]), pa.array(first[a, b].astype(float)), pa.array(score[a, b])], names=["query_id", "vec_id", "first", "score"])
 
     few = asked.limit(GROUP + 1).toArrow()
     if len(few) <= GROUP:

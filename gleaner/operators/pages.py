@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import routing
 from gleaner.functions import text as T
 from gleaner.staging import written
-from gleaner.workers import with_package
+from gleaner.workers import pieces, with_package
 
 #: Characters of keywords in one automaton; more are asked in several passes.
 MOST = 4_000_000
@@ -32,7 +32,7 @@ def counted(texts: DataFrame, keywords: list[str]) -> DataFrame:
         for k, word in enumerate(sent.value):
             found.add_word(word, (k, len(word)))
         found.make_automaton()
-        for batch in batches:
+        for batch in pieces(batches, "low"):  # a page has hits of very many keywords
             row, word, hits = [], [], []
             for i, low in enumerate(batch.column("low").to_pylist()):
                 count: dict[int, int] = {}

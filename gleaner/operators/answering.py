@@ -12,7 +12,7 @@ from gleaner.functions import text as T
 from gleaner.operators import rows as R
 from gleaner.operators import search
 from gleaner.staging import written
-from gleaner.workers import with_package
+from gleaner.workers import pieces, with_package
 
 #: Lines of a line search, characters of a summary beside a file.
 MOST_LINES, SUPPLEMENT = 30, 10_000
@@ -67,7 +67,7 @@ def line_hits(files: DataFrame, questions: DataFrame, most: int = MOST_LINES) ->
             for token, asks in sent.value.items():
                 tokens.add_word(token, asks)
             tokens.make_automaton()
-            for batch in batches:
+            for batch in pieces(batches, "text"):
                 row, question, number, lines = [], [], [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     told: dict[int, int] = {}

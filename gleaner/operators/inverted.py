@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.operators.search import lists_of, ranked, term_weights
 from gleaner.staging import written
-from gleaner.workers import with_package
+from gleaner.workers import pieces, with_package
 
 #: Documents and postings of a slice, at which it is closed; rows told at once.
 DOCS, POSTINGS, ROWS = 65_536, 1_000_000, 1024
@@ -245,7 +245,7 @@ def vectors(docs: DataFrame, key: str, text: str = "text", k1: float = 1.2, b: f
     mean = average or told.agg(F.avg(F.coalesce(F.size("_t"), F.lit(0)))).first()[0] or 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in pieces(batches, 1):
             for begin in range(0, whole.num_rows, ROWS):
                 piece = whole.slice(begin, ROWS)
                 part = _Slice()

@@ -390,16 +390,33 @@ def model_logs(texts: DataFrame, model: Model) -> DataFrame:
 KEPT = ["key", "doc_id", "held_out", "n_head", "base", "share"]
 
 
+def rest_of(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """key, more (the sum of the logarithms of smoothed counts) and n_tail (known words) of the texts' words that tasks do not count."""
+    words = found.select("key", F.explode("tail").alias("word")).join(counts, "word", "left")
+    return words.groupBy("key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("n_tail"))
+
+
+def told(head: Head) -> list:
+    """held_out, n_tokens, n_known, train_tokens and base_score, of texts with their rest."""
+    return [
+        F.col("held_out"), F.col("n_tokens"), (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(head.total).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(head.total + 0.5 * (head.distinct + 1)))).alias("base_score"),
+    ]
+
+
 def score(found: DataFrame, counts: DataFrame, head: Head, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text of ``coded``."""
-    words = found.select("key", F.explode("tail").alias("word")).join(counts, "word", "left")
-    rest = words.groupBy("key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("n_tail"))
-    more = F.coalesce("more", F.lit(0.0))
-    return model_logs(found, model).join(rest, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(head.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * float(np.log10(head.total + 0.5 * (head.distinct + 1)))).alias("base_score"),
-        (F.col("logs") + F.col("share") + more).alias("score"),
-    )
+    score = F.col("logs") + F.col("share") + F.coalesce("more", F.lit(0.0))
+    return model_logs(found, model).join(rest_of(found, counts), "key", "left").select("doc_id", *told(head), score.alias("score"))
+
+
+def base_scores(docs: DataFrame, mod: int = 5, out_of: int = 1) -> DataFrame:
+    """The columns of ``score_documents`` but the model's score, without the training that only that score needs."""
+    counts = written(word_counts(docs.where(remainder("doc_id", mod) != out_of)), "counts")
+    head = head_of(counts)
+    found = coded(docs, head, mod, out_of).withColumn("n_tokens", F.size("ids").cast("bigint")).select("key", "doc_id", "held_out", "n_head", "base", "n_tokens", "tail")
+    found = written(found, "coded")
+    return found.join(rest_of(found, counts), "key", "left").select("doc_id", *told(head))
 
 
 def score_documents(docs: DataFrame, mod: int = 5, out_of: int = 1) -> DataFrame:

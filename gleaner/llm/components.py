@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import discard, joined, written
 
+#: Rows of two numbers that a single task holds with ease (16 MB).
+FEW = 1_000_000
+
 
 def _step(links: DataFrame, both: bool, total: int) -> DataFrame:
     """links: a > b. Large (both): of all neighbours; small: of those below."""
     near = links.union(links.select("b", "a")) if both else links
     least = near.groupBy(F.col("a")).agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    told = joined(near, least, ["a"], total)
+    told = joined(near, least, ["a"], total, FEW)
     if both:
         out = told.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

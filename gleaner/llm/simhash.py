@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from gleaner.llm.common import discarded, extended, joined, scratch, text_chunks, with_package, written
-from gleaner.llm.components import components
+from gleaner.llm.components import FEW, components
 
 #: Fingerprints in a tile.
 TILE = 4096
@@ -242,7 +242,7 @@ def with_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """_node, component_id, the least doc_id reachable, and n of each distinct fingerprint (_node, least, n)."""
     rooted = written(distinct.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "least", F.col("n").alias("times"), F.coalesce("root", "_node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    return joined(rooted, least, ["root"], rooted.count()).select("_node", "component_id", F.col("times").alias("n"))
+    return joined(rooted, least, ["root"], rooted.count(), FEW).select("_node", "component_id", F.col("times").alias("n"))
 
 
 def distinct_of(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from gleaner.operators.joins import joined  # noqa: F401  shared by the operators
-from gleaner.staging import discard, discarded, scratch, shared_dir, written  # noqa: F401
+from gleaner.staging import GROUP, discard, discarded, scratch, shared_dir, written  # noqa: F401
 from gleaner.workers import with_package  # noqa: F401
 
 #: ASCII white space: the word separator of every contract here, and what ``bytes.split()`` splits on.

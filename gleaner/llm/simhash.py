@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from gleaner.llm.common import discarded, extended, joined, scratch, text_chunks, with_package, written
+from gleaner.llm.common import GROUP, discarded, extended, joined, scratch, text_chunks, with_package, written
 from gleaner.llm.components import FEW, components
 
 #: Fingerprints in a tile.
@@ -216,7 +216,7 @@ def verified(members: DataFrame, similarity: float, size: int, chunk: int = CHUN
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.octet_length("text")) / volume, F.lit(1))).cast("int").alias("cuts"), F.count("*").alias("n"))
     cut = joined(members, sizes, ["root"], members.count()).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     # dealt by chunk, or else Spark would deal chunks as the join did, a whole group to one task
-    chunks = written(cut.repartition("root", "cut").groupBy("root", "cuts", "cut").agg(F.collect_list(F.struct("node", "text")).alias("rows")), "chunks")
+    chunks = written(cut.repartition("root", "cut").groupBy("root", "cuts", "cut").agg(F.collect_list(F.struct("node", "text")).alias("rows")), "chunks", GROUP)
     many, last = chunks.where("cuts > 1"), F.col("cuts") - 1
     low = many.where(F.col("cut") < last).select("root", F.col("cut").alias("low"), F.explode(F.sequence(F.col("cut") + 1, last)).alias("high"), "rows")
     high = many.where("cut > 0").select("root", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("low"), F.col("cut").alias("high"), F.col("rows").alias("other_rows"))
@@ -260,16 +260,16 @@ def components_of(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def _firsts(rows: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
     """The rows of each group's least id, written, with _node and _component."""
-    found = written(fingerprints(rows, keep=True, size=size, words=2, sets=True).withColumn("_id", F.col("doc_id").cast("bigint")), "documents_fp")
+    found = written(fingerprints(rows, keep=True, size=size, words=2, sets=True).withColumn("_id", F.col("doc_id").cast("bigint")), "documents_fp", GROUP)
     distinct = written(found.groupBy("_node", "_fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     # the components of candidate links tell groups only: no pair of one group is left out when texts are compared
     groups = components(links(distinct, radius, words=2))
     # one text of each set of shingles stands for it
     asked = distinct.join(groups, F.col("_node") == F.col("node")).select("root", "node", F.col("least").alias("_least"))
     members = found.join(asked, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_least"))).groupBy("root", "node").agg(F.min("text").alias("text"))
-    classes = with_components(distinct, components(verified(written(members, "members"), similarity, size)))
+    classes = with_components(distinct, components(verified(written(members, "members", GROUP), similarity, size)))
     of = classes.select(F.col("_node").alias("_of"), F.col("component_id").alias("_component"))
-    return written(found.join(of, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_component"))).drop("_fp", "_of"), "firsts")
+    return written(found.join(of, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_component"))).drop("_fp", "_of"), "firsts", GROUP)
 
 
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 32) -> DataFrame:

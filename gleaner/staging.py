@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Bytes of a row group in tables of texts: a task holds one while it reads and one while it writes, whatever the file's size.
+GROUP = 8_000_000
+
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
@@ -45,10 +48,11 @@ def discarded(made: list[DataFrame], result: DataFrame) -> DataFrame:
     return result
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, so that a lost executor costs no earlier stage.
 
-    The shuffles behind the table are dropped as soon as it is written; nothing reads them again.
+    The shuffles behind the table are dropped as soon as it is written; nothing reads them again. ``group``: bytes of
+    a row group (Spark's own, if None).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -56,7 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("parquet.block.size", group) if group else df.write).parquet(path)
     finally:
         spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
